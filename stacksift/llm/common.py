@@ -37,6 +37,13 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tokenizer_path(name: str) -> str:
+    """A vocabulary file of the public tokenizers, which every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fold_of(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null ids count as the text ''."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are runs of word characters in lower case. The vocabulary is chosen from the labelled examples: terms whose
+Terms are words (runs of word characters in lower case), each word's first PREFIX characters after a `^`, and the
+same again with a `+` for beginnings that occur more than once in the text. The vocabulary is chosen from the labelled examples: terms whose
 document frequencies in the two classes differ by a chi-square of at least `min_chi2` and by a factor of at least
-`min_ratio`, the `max_terms` strongest. Over it, weights are (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), vectors
+`min_ratio`, and that are in the share `min_support` of one class at least; the `max_terms` strongest. Copies of one text count as one example. Over it, weights are (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), vectors
 have unit length and the cosine is exact: blocks of examples are skipped only if the sum of their terms' largest
 weights can't reach the k-th best similarity so far.
 
@@ -33,6 +34,20 @@ from .common import fold_of
 
 TERM = re.compile(r"\w+")
 BLOCK = 64
+PREFIX = 4
+
+
+def terms_of(text: str | None, known: dict[str, int] | None = None) -> Counter:
+    """The terms of a text with their counts; only those of `known`, if given."""
+    if not text:
+        return Counter()
+    words = TERM.findall(text.lower())
+    starts = ["^" + w[:PREFIX] for w in words]
+    if known is None:
+        out, often = Counter(words), Counter(starts)
+    else:
+        out, often = Counter([w for w in words if w in known]), Counter([w for w in starts if w in known or w + "+" in known])
+    return out + often + Counter({w + "+": n - 1 for w, n in often.items() if n > 1})
 
 
 @dataclass
@@ -51,10 +66,8 @@ class Index:
 
     def vector(self, text: str | None) -> tuple[tuple[int, int], ...]:
         """(term, tf) of the vocabulary's terms, by term."""
-        if not text:
-            return ()
         known = self.terms
-        return tuple(sorted(Counter([known[w] for w in TERM.findall(text.lower()) if w in known]).items()))
+        return tuple(sorted((known[w], n) for w, n in terms_of(text, known).items() if w in known))
 
     def weights(self, vector: tuple[tuple[int, int], ...]) -> np.ndarray:
         t = np.array([k for k, _ in vector])
@@ -104,23 +117,29 @@ def examples(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     if n > max_rows:
         ids = ids.filter(F.xxhash64("doc_id") < int(-(2**63) + 2**64 * max_rows / n))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_terms: int = 500, min_chi2: float = 30.0, min_ratio: float = 3.0) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_terms: int = 500, min_chi2: float = 30.0, min_ratio: float = 6.0, min_support: float = 0.03) -> Index:
     rows = examples(docs, labels, max_rows).cache()
     try:
         n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         n1, n0 = n.get(1, 0), n.get(0, 0)
         if not n1 + n0:
             return Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0, 0.0, [], [])
-        term = F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"(?U)[^\w]+"))).alias("w")
-        df = rows.select(term, "toxic").filter("w <> ''").groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+
+        @F.pandas_udf("array<string>")
+        def distinct(text: pd.Series) -> pd.Series:
+            return pd.Series([list(terms_of(x)) for x in text])
+
+        df = rows.select(F.explode(distinct("text")).alias("w"), "toxic")
+        df = df.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
         a, b, total = F.col("a").cast("double"), F.col("b").cast("double"), float(n1 + n0)
         d = a * (n0 - b) - b * (n1 - a)
         chi2 = total * d * d / (F.lit(float(max(n1, 1) * max(n0, 1))) * (a + b) * (F.lit(total) - a - b + 0.5))
         ratio = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-        chosen = df.filter((chi2 >= min_chi2) & ((ratio >= min_ratio) | (ratio <= 1 / min_ratio))).orderBy(chi2.desc(), "w").limit(max_terms).collect()
+        wide = (a >= min_support * n1) | (b >= min_support * n0)
+        chosen = df.filter(wide & (chi2 >= min_chi2) & ((ratio >= min_ratio) | (ratio <= 1 / min_ratio))).orderBy(chi2.desc(), "w").limit(max_terms).collect()
         terms = {r["w"]: i for i, r in enumerate(chosen)}
         idf = np.log((1 + total) / (1 + np.array([r["a"] + r["b"] for r in chosen], float))) + 1
         index = Index(terms, idf, np.zeros(0, np.int64), np.zeros(0, np.int64), 0.0, n1 / total, [], [])

@@ -37,18 +37,19 @@ MAGIC = b"TOKB"
 HEAD = struct.Struct("<4sHHI32sI")
 #: White space beside white space: such texts are encoded whole.
 DOUBLE = re.compile(r"\s\s")
-UNIT = re.compile(r" ?\S+|\s")
+#: A run of Latin letters before punctuation or the end is a unit of its own; else all up to the next white space.
+UNIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^.,;:!?\s])| ?\S++|\s")
 
 
 class Encoder:
     """Whole texts to ids with a byte-level BPE file of the tokenizers library.
 
     The pre-tokenizer always cuts before a single space (or around another single white space) between other
-    characters, so the ids of a text are those of such units in turn; a unit is given to the library once and kept
+    characters, and between letters and punctuation, so the ids of a text are those of such units in turn; a unit is given to the library once and kept
     in a table of at most `keep` entries. Texts with doubled white space go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,26 +59,16 @@ class Encoder:
 
     def __call__(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         tail = b"" if end is None else np.array([end], self.kind).tobytes()
-        out: list[bytes] = [b""] * len(texts)
-        known = self.known
         whole = [i for i, t in enumerate(texts) if t and DOUBLE.search(t)]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids + tail
-        skip = set(whole)
-        for i, text in enumerate(texts):
-            if i in skip:
-                continue
-            units = UNIT.findall(text) if text else []
-            try:
-                ids = b"".join([known[u] for u in units])
-            except KeyError:
-                if len(known) > self.keep:
-                    known.clear()
-                new = list({u for u in units if u not in known})
-                known.update(zip(new, self._library(new), strict=True))
-                ids = b"".join([known[u] for u in units])
-            out[i] = ids + tail
-        return out
+        of_whole = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True))
+        units = [UNIT.findall(t) if t and i not in of_whole else () for i, t in enumerate(texts)]
+        if len(self.known) > self.keep:
+            self.known.clear()
+        known = self.known
+        new = [u for u in set().union(*units) if u not in known]
+        known.update(zip(new, self._library(new), strict=True))
+        get = known.__getitem__
+        return [(of_whole[i] if i in of_whole else b"".join(map(get, u))) + tail for i, u in enumerate(units)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []

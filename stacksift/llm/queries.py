@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, pieces, quality, tokens, topk, toxicity
+from . import langid, licenses, mixing, pieces, quality, tokens, topk, toxicity
 from .common import table, tokenizer_path
 
 
@@ -18,6 +18,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(table(spark, sf_dir, "documents"))
 
 
+#: Weights of the registered mixture: even sources and English up, one source down.
+MIXTURE = {"domain": {("even",): 2.0}, "lang": {("even", "en"): 2.0, ("odd", "en"): 2.0}, "source": {("even", "en", "src0"): 0.5}}
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), share=0.5, max_epochs=2, weights=MIXTURE, seed=7)
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))

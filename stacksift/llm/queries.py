@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, mixing, pieces, quality, tokens, topk, toxicity
+from . import jaccard, langid, licenses, mixing, pieces, quality, tokens, topk, toxicity
 from .common import table, tokenizer_path
 
 
@@ -18,6 +18,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 #: Weights of the registered mixture: even sources and English up, one source down.
 MIXTURE = {"domain": {("even",): 2.0}, "lang": {("even", "en"): 2.0, ("odd", "en"): 2.0}, "source": {("even", "en", "src0"): 0.5}}
 

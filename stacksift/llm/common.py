@@ -92,26 +92,30 @@ def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray
 
     Null texts have no words; with lower, A-Z count as a-z.
     """
+    return word_codes(texts, lower)[:2]
+
+
+def word_codes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, and the last two bytes of every word as one number."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    hashes, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    hashes, counts, tails, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)], 0
     while at < len(raw):
         size, to = len(raw[at]), at + 1
         while to < len(raw) and size + len(raw[to]) <= SLICE:
             size, to = size + len(raw[to]), to + 1
-        h, n = _hash_slice(raw[at:to], lower)
-        hashes.append(h)
-        counts.append(n)
+        for out, x in zip((hashes, counts, tails), _hash_slice(raw[at:to], lower), strict=True):
+            out.append(x)
         at = to
-    return np.concatenate(hashes), np.concatenate(counts)
+    return np.concatenate(hashes), np.concatenate(counts), np.concatenate(tails)
 
 
-def _hash_slice(raw: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash_slice(raw: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One pass of numpy over the bytes: a prefix sum of bytes times falling powers gives every word's polynomial."""
     buf = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
     edge = np.diff(_IS_SPACE[buf].view(np.int8))
     start, end = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64), np.zeros(0, np.uint16)
     if lower:
         buf = buf + (((buf >= 65) & (buf <= 90)).view(np.uint8) << 5)
     up, down = _powers(len(buf))
@@ -120,4 +124,4 @@ def _hash_slice(raw: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * down, out=total[1:])
         hashes = mix((total[end] - total[start]) * up[start] + (end - start).astype(np.uint64))
     begins = np.cumsum([1] + [len(x) + 1 for x in raw])
-    return hashes, np.diff(np.searchsorted(start, begins))
+    return hashes, np.diff(np.searchsorted(start, begins)), buf[end - 1].astype(np.uint16) << np.uint16(8) | buf[end - 2]

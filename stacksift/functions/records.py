@@ -110,28 +110,29 @@ def doi_of_extra(extra: Column) -> Column:
 
 def edit_extra(extra: Column, put: dict[str, str] | None = None, drop: list[str] | None = None) -> Column:
     """Lines 'Key: value': given keys are replaced in place or appended, dropped keys go, other lines stay."""
-    put, drop = put or {}, drop or []
+    key_of = lambda x: F.lower(F.when(F.instr(x, ":") > 0, F.substring_index(x, ":", 1)))
     lines = F.filter(F.split(F.coalesce(extra, F.lit("")), "\n"), lambda x: x != "")
-    has = lambda key: (lambda x: F.lower(x).startswith(key.lower() + ":"))
-    for key in drop:
-        lines = F.filter(lines, lambda x, key=key: ~has(key)(x))
-    for key, value in put.items():
-        line = F.lit(f"{key}: {value}")
-        lines = F.when(F.exists(lines, has(key)), F.transform(lines, lambda x, key=key, line=line: F.when(has(key)(x), line).otherwise(x))).otherwise(F.concat(lines, F.array(line)))
+    if drop:
+        lines = F.filter(lines, lambda x: ~F.coalesce(key_of(x).isin(*(k.lower() for k in drop)), F.lit(False)))
+    if put:
+        new = F.create_map(*(F.lit(x) for k, v in put.items() for x in (k.lower(), f"{k}: {v}")))
+        there = F.transform(lines, key_of)
+        more = F.array(*(F.when(~F.coalesce(F.array_contains(there, k.lower()), F.lit(False)), F.lit(f"{k}: {v}")) for k, v in put.items()))
+        lines = F.concat(F.transform(lines, lambda x: F.coalesce(new[key_of(x)], x)), F.array_compact(more))
     return F.array_join(lines, "\n")
 
 
 def edit_tags(tags: Column, add: list[str] | None = None, remove: list[str] | None = None) -> Column:
     """array<struct<tag,type>>: removed names go first, then new names come as manual tags; kept tags keep their type."""
     kept = F.filter(tags, lambda t: ~t["tag"].isin(*remove)) if remove else tags
-    for name in dict.fromkeys(add or []):
-        new = F.array(F.struct(F.lit(name).alias("tag"), F.lit(0).alias("type")))
-        kept = F.when(F.exists(kept, lambda t, name=name: t["tag"] == name), kept).otherwise(F.concat(kept, new))
-    return kept
+    if not add:
+        return kept
+    names = F.array_except(F.array(*map(F.lit, dict.fromkeys(add))), F.transform(kept, lambda t: t["tag"]))
+    return F.concat(kept, F.transform(names, lambda n: F.struct(n.alias("tag"), F.lit(0).alias("type"))))
 
 
 def page_index(position: Column) -> Column:
-    return F.get_json_object(position, "$.pageIndex").cast("int")
+    return F.get_json_object(position, "$.pageIndex").try_cast("int")
 
 
 def sort_index(page: Column, offset: Column, top: Column) -> Column:

@@ -45,7 +45,7 @@ def nearest_many(index: DataFrame, queries: DataFrame, k: int, metric: str = "co
     """
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv"))
     blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(buckets)).alias("block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))
-    spread = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long"))
+    spread = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     pairs = spread.join(blocks, "block").select("id", "v", F.explode("qs").alias("q"))
     d = pairs.select("q.query_id", "id", distance(F.col("v"), F.col("q.qv"), metric).alias("distance"))
     order = Window.partitionBy("query_id").orderBy("distance", "id")

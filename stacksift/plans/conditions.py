@@ -52,7 +52,7 @@ def _in_order(col: Column, value: str, sign: str) -> Column:
     text = col > value if sign == ">" else col < value
     if not re.match(_NUMBER, value):
         return text
-    number = col.cast("double") > float(value) if sign == ">" else col.cast("double") < float(value)
+    number = col.try_cast("double") > float(value) if sign == ">" else col.try_cast("double") < float(value)
     return F.when(col.rlike(_NUMBER), number).otherwise(text)
 
 
@@ -146,7 +146,8 @@ def tag_language(entries: str | list[str], names: Column) -> Column | None:
                 continue
             if "%" in name or "*" in name:
                 raise ValueError(f"a tag with a wildcard: {name}")
-            has = F.coalesce(F.exists(names, lambda t, name=name: fold(t) == fold_text(name)), F.lit(False))
+            wanted = fold_text(name)
+            has = F.coalesce(F.exists(names, lambda t: fold(t) == wanted), F.lit(False))  # noqa: B023  called at once
             either.append(~has if exclude else has)
         if either:
             both.append(reduce(Column.__or__, either))

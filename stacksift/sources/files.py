@@ -120,7 +120,7 @@ def bibtex_items(texts: DataFrame) -> DataFrame:
     e = texts.select("text").mapInArrow(run, kind)
     f = lambda n: F.col("fields")[n]
     item_type = F.coalesce(F.create_map(*(F.lit(x) for kv in ENTRY_TYPES.items() for x in kv))[F.col("type")], F.lit("document"))
-    tags = F.filter(F.transform(F.split(F.coalesce(f("keywords"), F.lit("")), "[;,]"), F.trim), lambda t: t != "")
+    tags = F.filter(F.transform(F.split(F.coalesce(f("keywords"), F.lit("")), "[;,]"), lambda t: F.trim(t)), lambda t: t != "")
     return e.select("cite_key", item_type.alias("itemType"), f("title").alias("title"), F.coalesce(f("journal"), f("booktitle")).alias("publicationTitle"), F.coalesce(f("date"), bibtex_date(f("year"), f("month"), f("day"))).alias("date"), f("doi").alias("DOI"), f("isbn").alias("ISBN"), f("url").alias("url"), f("abstract").alias("abstractNote"), "creators", tags.alias("tags"))
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,19 @@ def fold_of(doc_id: Column | str, n: int) -> Column:
     return (F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 256, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows, and characters but for one longer text."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
+    at = 0
+    while at < batch.num_rows:
+        n, total = 1, sizes[at]
+        while n < rows and at + n < batch.num_rows and total + sizes[at + n] <= chars:
+            total += sizes[at + n]
+            n += 1
+        yield batch.slice(at, n)
+        at += n
+
+
 def workers(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -14,13 +14,13 @@ largest size it can be linked with.
    (the smaller side shares the key, and its heat). The others are short, and pairs of two short sets remain.
 3. Short sets are indexed again with fewer, larger segments, by each subset and its one-deletion neighbourhood: a
    segment whose keys are all cold now stands for two differences, as equal or within one insertion or deletion.
-4. Sets that are short again share an element among the n - ceil(3 n / 4) + 1 first of each in hash order. They are
-   compared with the smallest set under each such element, and then with all sets under it that aren't yet in the
-   same component. Nothing is capped.
+4. Sets that are short again share an element among the n - ceil(3 n / 4) + 1 first of each, where elements that few
+   of these sets have come first. They are compared with the smallest set under each such element, and then with
+   all sets under it that aren't yet in the same component. Nothing is capped.
 
-Candidates are first held against bitmaps (a bit that differs is an element that differs, so none is lost), then
-verified on the hashes, for each set with its smallest partner first; candidates that are by then in one component
-need no look, all others are verified too. Equal sets are one class before all this, so copies cost one set.
+Candidates are held against bitmaps (a bit that differs is an element that differs, so none is lost), then verified
+on the hashes, for each set with its smallest and largest partner first; candidates that are by then in one
+component need no look, all others are verified too. Equal sets are one class before all this, so copies cost one set.
 
 Keys travel in packed blocks, at most `hot` + 1 a key and block, and meet in buckets that number with the input.
 The hot keys reach executors as a bitmap of fixed size; a false hit makes a set short, which costs time only.
@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, word_hashes, workers, written
+from .common import mix, slices, word_hashes, workers, written
 from .graph import components
 
 SHINGLE = 5
 HOT = 24
 HOT_BITS = 23
-WINDOW_KEYS = 3_000_000
+WINDOW_KEYS = 1_000_000
 BANDS = np.array([4 << k for k in range(40)], np.int64)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -320,8 +320,7 @@ def set_classes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for part in slices(b):
                 at, h, n = shingle_sets(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "fp": pa.array(fingerprints(at, h, n), pa.int64())})
 
@@ -332,8 +331,8 @@ def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
     """at, h, n, fp of the sets that can be linked with others and that this task hasn't had."""
     seen: set[int] = set()
     for b in batches:
-        for i in range(0, b.num_rows, 512):
-            at, h, n = shingle_sets(b.column("text").slice(i, 512).to_pylist())
+        for part in slices(b):
+            at, h, n = shingle_sets(part.column("text").to_pylist())
             fp = fingerprints(at, h, n)
             use = np.zeros(len(n), bool)
             for k, f in enumerate(fp.tolist()):
@@ -401,8 +400,8 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packer = _Packer(buckets, hot)
             for b in batches:
-                for i in range(0, b.num_rows, 512):
-                    at, h, n, fp = _unpacked(b.slice(i, 512))
+                for i in range(0, b.num_rows, 128):
+                    at, h, n, fp = _unpacked(b.slice(i, 128))
                     key, who, _, _ = keys(at, h, n, True)
                     yield from packer.add(key, who, fp, n)
             yield from packer.flush()
@@ -413,32 +412,42 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
 
         def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(0, b.num_rows, 512):
-                    at, h, n, fp = _unpacked(b.slice(i, 512))
+                for i in range(0, b.num_rows, 128):
+                    at, h, n, fp = _unpacked(b.slice(i, 128))
                     if not len(n):
                         continue
-                    rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-                    use = short_of(at, h, n, heat2.value, buckets, True)[at] & (rank < (n - -(-3 * n // 4) + 1)[at])
+                    use = short_of(at, h, n, heat2.value, buckets, True)[at]
                     yield pa.RecordBatch.from_pydict({"x": pa.array(h[use].view(np.int64), pa.int64()), "fp": pa.array(fp[at[use]], pa.int64()), "n": pa.array(n[at[use]], pa.int64())})
 
-        rest = written(short.mapInArrow(firsts, "x long, fp long, n long"))
+        every = written(short.mapInArrow(firsts, "x long, fp long, n long"))
+        often = every.groupBy("x").agg(F.count("*").alias("d")).filter("d > 1")
+        # what no other of these sets has comes first and leads nowhere: only how many there are matters
+        lone = F.col("n") - F.col("m")
+        shared = every.join(often, "x").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("xs"), F.count("*").alias("m"))
+        take = F.greatest(F.lit(0), F.col("n") - F.expr("(3 * n + 3) div 4") + 1 - lone).cast("int")
+        rest = written(shared.select(F.explode(F.slice(F.transform("xs", lambda s: s["x"]), F.lit(1), take)).alias("x"), "fp", "n"))
         low = rest.groupBy("x").agg(F.min("fp").alias("a"), F.count("*").alias("many")).filter("many > 1").select("x", "a")
         star = rest.join(low, "x").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
         pairs = pairs.unionByName(star)
     else:
         rest = None
 
-    pairs = written(_checked(written(pairs.distinct()), small, "bits", False))
+    pairs = written(pairs.distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Bitmaps first: they are small, and few pairs that they pass aren't linked."""
+        pairs = written(_checked(pairs, small, "bits", False))
         ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        return _checked(pairs, sets.select("fp", "n", "elements").join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "elements", True)
+        return written(_checked(pairs, sets.select("fp", "n", "elements").join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "elements", True))
 
-    first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    sure = written(verified(first))
+    # each set with its smallest and largest partner, then what is still apart: most pairs of a group need no look
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    last = pairs.groupBy("a").agg(F.max("b").alias("b")).select("a", "b")
+    first = written(first.unionByName(last).distinct())
+    sure = verified(first)
     roots = written(components(sure))
-    others = written(_apart(pairs, roots).join(first, ["a", "b"], "left_anti"))
-    sure = written(sure.unionByName(verified(others)))
+    others = _apart(pairs, roots).join(first, ["a", "b"], "left_anti")
+    sure = sure.unionByName(verified(written(others)))
     roots = written(components(sure))
     if rest is not None:
         # what the smallest under an element did not bring together is compared under each element that is shared
@@ -449,7 +458,7 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
             p, q = placed.alias("p"), placed.alias("q")
             on = (F.col("p.x") == F.col("q.x")) & (F.col("p.root") < F.col("q.root")) & (4 * F.least("p.n", "q.n") >= 3 * F.greatest("p.n", "q.n"))
             cross = p.join(q, on).select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct()
-            more = verified(written(_checked(cross, small, "bits", False)))
+            more = verified(written(cross))
             roots = written(components(sure.unionByName(more)))
     return roots
 

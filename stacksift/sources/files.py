@@ -64,7 +64,10 @@ def parse_bibtex(text: str | None) -> list[dict]:
             value = text[begin:i].strip()
             if value[:1] in '{"' and value[-1:] in '}"':
                 value = value[1:-1]
-            fields[f.group(1).lower()] = re.sub(r"\s+", " ", value.replace("{", "").replace("}", "")).strip()
+            name = f.group(1).lower()
+            # braces hold the parts of a name together, so names keep theirs
+            bare = value if name in ("author", "editor") else value.replace("{", "").replace("}", "")
+            fields[name] = re.sub(r"\s+", " ", bare).strip()
             pos = i
         if m.group(1).lower() not in ("comment", "string", "preamble"):
             out.append({"type": m.group(1).lower(), "cite_key": m.group(2), "fields": fields})
@@ -82,8 +85,12 @@ def bibtex_authors(raw: str | None) -> list[dict]:
         else:
             part += token
     for p in (x.strip() for x in [*parts, part] if x.strip()):
-        if p.startswith("{") and p.endswith("}"):
-            out.append({"firstName": "", "lastName": p[1:-1]})
+        whole = p.startswith("{") and p.endswith("}")
+        p = p.replace("{", "").replace("}", "").strip()
+        if not p:
+            continue
+        if whole:
+            out.append({"firstName": "", "lastName": p})
         elif "," in p:
             last, first = p.split(",", 1)
             out.append({"firstName": first.strip(), "lastName": last.strip()})

@@ -15,8 +15,9 @@ largest size it can be linked with.
 3. Short sets are indexed again with fewer, larger segments, by each subset and its one-deletion neighbourhood: a
    segment whose keys are all cold now stands for two differences, as equal or within one insertion or deletion.
 4. Sets that are short again share an element among the n - ceil(3 n / 4) + 1 first of each, where elements that few
-   of these sets have come first. They are compared with the smallest set under each such element, and then with
-   all sets under it that aren't yet in the same component. Nothing is capped.
+   of these sets have come first. They are compared with the smallest set under each such element, where many pairs
+   are left with a few further ones, and then with all sets under it that aren't yet in the same component, but for
+   pairs whose elements before it already differ too much. Nothing is capped.
 
 Candidates are held against bitmaps (a bit that differs is an element that differs, so none is lost), then verified
 on the hashes, for each set with its smallest and largest partner first; candidates that are by then in one
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, slices, word_hashes, workers, written
@@ -45,6 +46,11 @@ SHINGLE = 5
 HOT = 24
 HOT_BITS = 23
 WINDOW_KEYS = 1_000_000
+#: Names of sets (8 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Further centres are tried while more pairs than this meet for each row that is left, and at most so many times.
+FEW_PAIRS = 8
+CENTRE_ROUNDS = 4
 BANDS = np.array([4 << k for k in range(40)], np.int64)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -315,6 +321,31 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def _mixed(rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (x, fp, n, before) of rest with their root, of those x whose sets aren't all in one component; written."""
+    placed = rest.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = placed.groupBy("x").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("x")
+    return written(placed.join(mixed, "x", "left_semi"))
+
+
+def _pairs_left(placed: DataFrame) -> float:
+    """How many pairs of different components meet under the elements."""
+    by = placed.groupBy("x", "root").agg(F.count("*").cast("double").alias("c")).groupBy("x").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return by.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
+
+
+def _meeting(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+    """Pairs (a < b) that meet under an element and may be linked.
+
+    Linked sets pass at the first element they share: what comes before it in either is not in the other, so they
+    share at most n - before elements of each.
+    """
+    p, q = left.alias("p"), right.alias("q")
+    most = F.least(F.col("p.n") - F.col("p.before"), F.col("q.n") - F.col("q.before"))
+    on = (F.col("p.x") == F.col("q.x")) & apart & (7 * most >= 3 * (F.col("p.n") + F.col("q.n")))
+    return p.join(q, on).select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct()
+
+
 def set_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n, fp (of the set) of every row of docs, written."""
 
@@ -425,7 +456,8 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         lone = F.col("n") - F.col("m")
         shared = every.join(often, "x").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("xs"), F.count("*").alias("m"))
         take = F.greatest(F.lit(0), F.col("n") - F.expr("(3 * n + 3) div 4") + 1 - lone).cast("int")
-        rest = written(shared.select(F.explode(F.slice(F.transform("xs", lambda s: s["x"]), F.lit(1), take)).alias("x"), "fp", "n"))
+        heads = F.slice(F.transform("xs", lambda s: s["x"]), F.lit(1), take)
+        rest = written(shared.select(F.posexplode(heads).alias("at", "x"), "fp", "n", lone.alias("lone")).select("x", "fp", "n", (F.col("lone") + F.col("at")).alias("before")))
         low = rest.groupBy("x").agg(F.min("fp").alias("a"), F.count("*").alias("many")).filter("many > 1").select("x", "a")
         star = rest.join(low, "x").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
         pairs = pairs.unionByName(star)
@@ -437,8 +469,9 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         """Bitmaps first: they are small, and few pairs that they pass aren't linked."""
         pairs = written(_checked(pairs, small, "bits", False))
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        return written(_checked(pairs, sets.select("fp", "n", "elements").join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "elements", True))
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+        few = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+        return written(_checked(pairs, sets.select("fp", "n", "elements").join(few, "fp", "left_semi").dropDuplicates(["fp"]), "elements", True))
 
     # each set with its smallest and largest partner, then what is still apart: most pairs of a group need no look
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -451,14 +484,20 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
     roots = written(components(sure))
     if rest is not None:
         # what the smallest under an element did not bring together is compared under each element that is shared
-        placed = rest.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = placed.groupBy("x").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("x")
-        placed = written(placed.join(mixed, "x", "left_semi"))
+        placed = _mixed(rest, roots)
+        for turn in range(CENTRE_ROUNDS):
+            # where components still meet in large groups, another centre brings most of them together first
+            if _pairs_left(placed) <= FEW_PAIRS * placed.count():
+                break
+            centre = placed.groupBy("x").agg(F.min_by(F.struct("fp", "root", "n", "before"), F.xxhash64("fp", F.lit(turn))).alias("c")).select("x", "c.*")
+            more = verified(written(_meeting(centre, placed, F.col("p.root") != F.col("q.root"))))
+            if more.isEmpty():
+                break
+            sure = sure.unionByName(more)
+            roots = written(components(sure))
+            placed = _mixed(rest, roots)
         if not placed.isEmpty():
-            p, q = placed.alias("p"), placed.alias("q")
-            on = (F.col("p.x") == F.col("q.x")) & (F.col("p.root") < F.col("q.root")) & (4 * F.least("p.n", "q.n") >= 3 * F.greatest("p.n", "q.n"))
-            cross = p.join(q, on).select(F.col("p.fp").alias("a"), F.col("q.fp").alias("b")).distinct()
-            more = verified(written(cross))
+            more = verified(written(_meeting(placed, placed, F.col("p.root") < F.col("q.root"))))
             roots = written(components(sure.unionByName(more)))
     return roots
 

@@ -131,7 +131,7 @@ def fit(docs: DataFrame, max_rows: int = 4_000, max_words: int = 100_000, max_gr
         padded = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
         for n in SIZES:
             parts = counts.select("lang", "c", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, n))).alias("w"))
-            grams.append(matrix(parts.groupBy("w", "lang").agg(F.sum("c").alias("c")), max_grams))
+            grams.append(matrix(parts.filter(F.length("w") == n).groupBy("w", "lang").agg(F.sum("c").alias("c")), max_grams))
         seen = sum(per_lang.values())
         return LanguageModel(langs, np.log([per_lang[x] / seen for x in langs]), known, logp, [g[0] for g in grams], [g[1] for g in grams])
     finally:

@@ -51,7 +51,8 @@ BROADCAST_ROWS = 2_000_000
 #: Further centres are tried while more pairs than this meet for each row that is left, and at most so many times.
 FEW_PAIRS = 8
 CENTRE_ROUNDS = 4
-BANDS = np.array([4 << k for k in range(40)], np.int64)
+#: Smallest sizes of the bands; 3 is the least size that links with another, of 4.
+BANDS = np.array([3, *(4 << k for k in range(40))], np.int64)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 

@@ -103,6 +103,15 @@ def test_jaccard(spark, docs, hot):
         assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(k, *v) for k, v in want.items()}
 
 
+def test_jaccard_smallest(spark):
+    """A text of 7 words has 3 shingles, and 4 with one word more at either end."""
+    words = [f"{c}{k}" for c in "abc" for k in range(7)]
+    texts = [" ".join(words[i : i + 7]) for i in (0, 7, 14)]
+    table = spark.createDataFrame([(1, texts[0]), (2, texts[0] + " end"), (3, "start " + texts[1]), (4, texts[1]), (5, texts[2]), (6, " ".join(words[15:21]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table).collect()}
+    assert got == components(table.collect()) and [got[k][1] for k in (2, 4, 6)] == [1, 3, 6]
+
+
 def test_jaccard_empty(empty):
     assert jaccard.jaccard_components(empty).count() == 0
 

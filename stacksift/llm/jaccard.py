@@ -10,8 +10,10 @@ largest size it can be linked with.
 
 1. Index: every non-empty segment's subset gives a key; sets that share a key are candidates. A key with more than
    `hot` sets is not paired.
-2. Allocation: a set that still has H + 1 non-hot keys in its own layout loses nothing by leaving its hot ones out
-   (the smaller side shares the key, and its heat). The others are short, and pairs of two short sets remain.
+2. Allocation: a set of n that has floor((n + m) / 7) + 1 non-hot keys in each of its layouts, for the largest size m
+   it can meet there, shares one of them with every set it is linked with, larger or smaller (the other side shares
+   the key, and its heat), and loses nothing by leaving its hot ones out. The others are short, and pairs of two short
+   sets remain.
 3. Short sets are indexed again with fewer, larger segments, by each subset and its one-deletion neighbourhood: a
    segment whose keys are all cold now stands for two differences, as equal or within one insertion or deletion.
 4. Sets that are short again share an element among the n - ceil(3 n / 4) + 1 first of each, where elements that few
@@ -100,16 +102,16 @@ def _segments(band: np.ndarray, deletions: bool) -> np.ndarray:
     return (0.62 * need).astype(np.int64) + 4 if deletions else (1.15 * need).astype(np.int64) + 4
 
 
-def keys(at: np.ndarray, h: np.ndarray, n: np.ndarray, deletions: bool, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def keys(at: np.ndarray, h: np.ndarray, n: np.ndarray, deletions: bool, steps: tuple[int, ...] = (0, 1)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every key: its value, the set's number, the segment's number (of all here) and whether it leaves one out.
 
-    at must be 0, 1, ... over sets in turn. own: only the layouts of the sets' own bands.
+    at must be 0, 1, ... over sets in turn. steps: the layouts of the sets' own bands (0) and of the next ones (1).
     """
     band = np.searchsorted(BANDS, n, "right") - 1
     far = np.searchsorted(BANDS, 4 * n // 3, "right") - 1
     got = []
     with np.errstate(over="ignore"):
-        for step in (0,) if own else (0, 1):
+        for step in steps:
             use = (band >= 0) & (band + step <= far)
             mine = use[at]
             a, x = at[mine], h[mine]
@@ -151,18 +153,24 @@ def _spot(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def short_of(at: np.ndarray, h: np.ndarray, n: np.ndarray, hot: np.ndarray, buckets: int, deletions: bool) -> np.ndarray:
-    """Which sets have too few cold keys in their own layout."""
-    key, who, segment, less = keys(at, h, n, deletions, own=True)
-    cold = ~hot[_spot(*_place(key, buckets))]
-    units = np.bincount(who[~less], cold[~less], len(n))
-    if deletions:
-        number = int(segment.max()) + 1 if len(segment) else 0
-        rich = np.bincount(segment[less], minlength=number) > 0
-        bad = np.bincount(segment, ~cold, number) > 0
-        of = np.zeros(number, np.int64)
-        of[segment] = who
-        units += np.bincount(of[rich & ~bad], minlength=len(n))
-    return (n >= BANDS[0]) & (units < 2 * n // 7 + 1)
+    """Which sets have too few cold keys in a layout they take part in, for the largest partner they can meet there."""
+    band = np.searchsorted(BANDS, n, "right") - 1
+    far = np.searchsorted(BANDS, 4 * n // 3, "right") - 1
+    out = np.zeros(len(n), bool)
+    for step in (0, 1):
+        key, who, segment, less = keys(at, h, n, deletions, (step,))
+        cold = ~hot[_spot(*_place(key, buckets))]
+        units = np.bincount(who[~less], cold[~less], len(n))
+        if deletions:
+            number = int(segment.max()) + 1 if len(segment) else 0
+            rich = np.bincount(segment[less], minlength=number) > 0
+            bad = np.bincount(segment, ~cold, number) > 0
+            of = np.zeros(number, np.int64)
+            of[segment] = who
+            units += np.bincount(of[rich & ~bad], minlength=len(n))
+        most = np.minimum(4 * n // 3, BANDS[band + step + 1] - 1)
+        out |= (band >= 0) & (band + step <= far) & (units < (n + most) // 7 + 1)
+    return out
 
 
 _BLOCK = "bucket int, keys binary, sets binary, fps binary, sizes binary"

@@ -112,6 +112,19 @@ def test_jaccard_smallest(spark):
     assert got == components(table.collect()) and [got[k][1] for k in (2, 4, 6)] == [1, 3, 6]
 
 
+@pytest.mark.parametrize("hot", [24, 2])
+def test_jaccard_across_bands(spark, hot):
+    """Near copies of which the larger ones share only hot keys, and one with cold keys among those of its own size."""
+    body = [f"w{i}" for i in range(38)]
+    data = [(i, " ".join([*body, f"x{i}"])) for i in range(40)] + [(90, " ".join(body[:34])), (91, " ".join([*body[1:34], "y"])), (92, " ".join(body[:24]))]
+    # and within one band: 21 of the 28 shingles of one copy, each segment that differs with cold keys
+    data += [(200 + i, " ".join([f"v{k}" for k in range(31)] + [f"z{i}"])) for i in range(40)] + [(300 + i, " ".join([f"v{k}" for k in range(i, i + 26)])) for i in range(6)]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table, hot).collect()}
+    want = components(table.collect())
+    assert got == want and want[90] == (30, 0)
+
+
 def test_jaccard_empty(empty):
     assert jaccard.jaccard_components(empty).count() == 0
 

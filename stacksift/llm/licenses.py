@@ -4,8 +4,8 @@ For every template, the least frequent of its words in the text gives places to
 the template's length is aligned: words that are unique to both sides anchor, the longest increasing subsequence of
 anchors is kept, equal words beside anchors extend them, and the gaps between are aligned the same way. The matched
 words of a window, cut where more than `max_gap` other words stand between, give the coverage: matched template
-words over all of them. A template of L words can reach the coverage c only if one of any floor((1 - c) * L) + 1 of
-its words is in the text, so texts without any of its least common words are passed over without loss.
+words over all of them. A template of L words can reach the coverage c only if one of any L - ceil(c * L) + 1 of its
+words (counted exactly, c as the decimal it is written as) is in the text, so texts without any of its least common words are passed over without loss.
 
 Defined cases: null and empty texts match nothing; of several templates the largest coverage wins, ties go to the
 longer and then to the smaller name; repeated rows get equal answers; other columns are not read.
@@ -16,6 +16,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from fractions import Fraction
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,11 +86,12 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float, max_gap: int):
         self.templates = {k: WORD.findall(v.lower()) for k, v in sorted(templates.items())}
         self.coverage, self.max_gap = coverage, max_gap
+        self.least = {k: ceil(Fraction(str(coverage)) * len(v)) for k, v in self.templates.items()}
         often: dict[str, int] = {}
         for words in self.templates.values():
             for w in set(words):
                 often[w] = often.get(w, 0) + 1
-        self.needed = {k: set(sorted(set(v), key=lambda w: (-len(w), often[w], w))[: int((1 - coverage) * len(v)) + 1]) for k, v in self.templates.items()}
+        self.needed = {k: set(sorted(set(v), key=lambda w: (-len(w), often[w], w))[: len(v) - self.least[k] + 1]) for k, v in self.templates.items()}
         self.any = set().union(*self.needed.values()) if self.needed else set()
 
     def scan(self, text: str | None) -> tuple[str, float, int, int] | None:
@@ -103,7 +106,7 @@ class Scanner:
             places.setdefault(w, []).append(i)
         best = None
         for name, template in self.templates.items():
-            least = int(-(-self.coverage * len(template) // 1))
+            least = self.least[name]
             if not template or not any(w in places for w in self.needed[name]):
                 continue
             # a match has one of these words; the rarer in the text, the fewer windows

@@ -226,6 +226,22 @@ def test_licenses(docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+def test_licenses_filter():
+    """As many words as the coverage allows may be missing, whichever they are; the filter passes over none."""
+    s, full = licenses.Scanner(licenses.TEMPLATES, 0.8, 3), licenses.Scanner(licenses.TEMPLATES, 0.8, 3)
+    full.needed = {k: set(v) for k, v in full.templates.items()}
+    full.any = set().union(*full.needed.values())
+    for name, words in s.templates.items():
+        for gone in range(len(words)):
+            for more in (0, 1):
+                rest = [w for i, w in enumerate(words) if i != gone and i >= more]
+                text = "before this " + " ".join(rest) + " after it"
+                a, b = s.scan(text), full.scan(text)
+                assert (a and a[:2]) == (b and b[:2]), (name, text)
+    assert s.scan("This project is licensed under the MIT License")[:2] == ("MIT", 0.8)
+    assert s.scan("Distributed under CC BY-NC 4.0")[:2] == ("CC-BY-NC-4.0", 0.8)
+
+
 def test_language_model(docs, empty):
     got = lm.score(docs).collect()
     text = [(r["doc_id"], WORD.findall((r["text"] or "").translate(LOWER)) + [None]) for r in rows(docs)]

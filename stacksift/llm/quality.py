@@ -1,11 +1,12 @@
 """Quality rules: counts inside a text, then lines that too many documents of a host share.
 
-DataFrame functions only. A line is normalised (outer white space goes, lower case) and hashed; for every host (`source`) the different texts that hold it are counted, so exact
-copies of one text count once. A line above the host's limit is removed everywhere but in the document with the
+DataFrame functions only. A line is normalised (outer white space goes, lower case) and hashed; for every host (`source`) the documents that hold it are counted, copies of one
+text too. A line in more than `min_docs` of them, however large the host is, is removed everywhere but in the document with the
 smallest doc_id that has it, and a document that loses most of its words that way is rejected as depleted.
 
 Defined cases: a null text has no words and fails the base rule; a null source is a host of its own; rows that
-repeat a doc_id are judged one by one; columns beyond those named are ignored by `quality_rules` and kept by
+repeat a doc_id are judged one by one, but count as one document of a line; without a doc_id, each different text
+counts, and a line that no document with a doc_id has stays in all; columns beyond those named are ignored by `quality_rules` and kept by
 `kept_documents`; an empty table gives an empty result.
 """
 
@@ -69,32 +70,31 @@ def base_failed(min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT) -> C
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > int(100 * max_repeat) * F.col("n_words"))
 
 
-def shared_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1) -> DataFrame:
-    """Per (doc_id, source, cid): `removed`, the words in lines above the host's limit.
+def shared_lines(docs: DataFrame, min_docs: int = 20) -> DataFrame:
+    """Per (doc_id, source, cid): `removed`, the words in lines that more than min_docs documents of the host have.
 
-    The limit is the larger of min_docs and max_share of the host's different texts. Counting first folds equal
-    (host, line, text) rows in every task, so a hot host or line is spread by text before it is summed.
+    Counting first folds equal (host, line, document) rows in every task, so a hot host or line is spread by document
+    before it is summed.
     """
     norm = F.lower(F.btrim("line", F.lit(_BLANKS)))
     row = docs.select("doc_id", "source", F.xxhash64("text", F.length("text")).alias("cid"), F.col("text"))
     lines = row.select("doc_id", "source", "cid", F.explode(_lines(F.col("text"))).alias("line")).select(
         "doc_id", "source", "cid", F.xxhash64(norm, F.length(norm)).alias("h"), F.regexp_count("line", F.lit(f"[^{SPACE}]+")).alias("n")
     )
-    per_text = lines.groupBy("source", "h", "cid").agg(F.min("doc_id").alias("first"))
-    often = per_text.groupBy("source", "h").agg(F.count("*").alias("texts"), F.min("first").alias("first")).filter(F.col("texts") > min_docs)
-    hosts = row.groupBy("source", "cid").agg(F.count("*")).groupBy("source").agg(F.count("*").alias("host_texts"))
-    a, b = often.alias("a"), hosts.alias("b")
-    over = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).filter(F.col("texts") > max_share * F.col("host_texts")).select(F.col("a.source").alias("o_source"), F.col("h").alias("o_h"), "first")
+    nameless = F.when(F.col("doc_id").isNull(), F.col("cid"))
+    per_doc = lines.groupBy("source", "h", "doc_id", nameless.alias("nameless")).agg(F.count("*"))
+    over = per_doc.groupBy("source", "h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") > min_docs)
+    over = over.select(F.col("source").alias("o_source"), F.col("h").alias("o_h"), "first")
     hit = lines.join(over, lines.source.eqNullSafe(over.o_source) & (lines.h == over.o_h)).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     return hit.groupBy("doc_id", "source", "cid").agg(F.sum("n").alias("removed"))
 
 
-def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, min_docs: int = 20, max_share: float = 0.1, depleted: float = 0.7) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, min_docs: int = 20, depleted: float = 0.7) -> DataFrame:
     """doc_id, the counts, base_failed, kept, n_removed (words in removed lines); one row for each row of docs.
 
     A document is depleted when removed lines hold more than the share `depleted` of its words.
     """
-    stats, lost = base_stats(docs), shared_lines(docs, min_docs, max_share)
+    stats, lost = base_stats(docs), shared_lines(docs, min_docs)
     on = [stats[k].eqNullSafe(lost[k]) for k in ("doc_id", "source", "cid")]
     both = stats.join(lost, on[0] & on[1] & on[2], "left")
     removed = F.coalesce(lost["removed"], F.lit(0))
@@ -102,12 +102,12 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float
     return both.select(stats["doc_id"], *_STATS, failed.alias("base_failed"), (~failed & (removed <= depleted * F.col("n_words"))).alias("kept"), removed.cast("long").alias("n_removed"))
 
 
-def kept_documents(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, min_docs: int = 20, max_share: float = 0.1, depleted: float = 0.7) -> DataFrame:
+def kept_documents(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, min_docs: int = 20, depleted: float = 0.7) -> DataFrame:
     """The rows of docs that quality_rules keeps, with their columns.
 
     Only the few keys of rejected rows are joined back, so the texts move only if that set is large.
     """
-    stats, lost = base_stats(docs), shared_lines(docs, min_docs, max_share)
+    stats, lost = base_stats(docs), shared_lines(docs, min_docs)
     on = [stats[k].eqNullSafe(lost[k]) for k in ("doc_id", "source", "cid")]
     removed = F.coalesce(lost["removed"], F.lit(0))
     bad = stats.join(lost, on[0] & on[1] & on[2], "left").filter(base_failed(min_words, max_repeat) | (removed > depleted * F.col("n_words")))

@@ -205,6 +205,16 @@ def test_quality(spark, docs, empty):
     assert kept == {0, *range(40, 60)} == {r["doc_id"] for r in quality.kept_documents(t).collect()}
 
 
+def test_quality_limit(spark):
+    """The limit doesn't grow with the host, and documents count, not different texts."""
+    words = lambda i: " ".join(f"w{i}_{k}" for k in range(60))
+    data = [(i, f"Shared line\n{words(i)}" if i < 30 else words(i), "large") for i in range(1000)] + [(2000 + i, "same " * 3 + words(0), "copies") for i in range(25)]
+    data += [(3000 + i, f"Few\n{words(i)}", "small") for i in range(20)]
+    got = {r["doc_id"]: r["n_removed"] for r in quality.quality_rules(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert {k for k, n in got.items() if n == 2} == set(range(1, 30)) and {k for k, n in got.items() if n == 63} == set(range(2001, 2025))
+    assert sum(n > 0 for n in got.values()) == 29 + 24
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)) / 3

@@ -10,7 +10,7 @@ from stacksift.llm.queries import MIXTURE
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or are depleted of lines go."""
+    """Documents that fail the base rule or are depleted of lines go, and shared lines go from the others."""
     return quality.kept_documents(docs)
 
 

@@ -215,6 +215,19 @@ def test_quality_limit(spark):
     assert sum(n > 0 for n in got.values()) == 29 + 24
 
 
+def test_quality_cleaned(spark):
+    """Removed lines are gone from the texts, wherever they stand, and all else stays as it was."""
+    words = lambda i: " ".join(f"w{i}_{k}" for k in range(60))
+    text = lambda i: ["Top\n\n{}\n  end", "{}\n \nTOP \nend\n", "top\nend\n{}", "{}\r\nend"][i % 4].format(words(i))
+    want = lambda i: ["\n{}", "{}\n \n", "{}", "{}\r"][i % 4].format(words(i)) if i else text(0)
+    data = [(i, text(i), "h", "en", i) for i in range(40)] + [(39, text(39), "h", "en", 39), (50, None, "h", None, 1), (51, "top\nend", "h", None, 1), (52, text(1), "other", "fr", 1)]
+    t = spark.createDataFrame(data, "doc_id long, text string, source string, lang string, n long")
+    got = quality.kept_documents(t)
+    assert got.columns == t.columns and sorted(map(tuple, got.collect())) == sorted([(i, want(i), "h", "en", i) for i in [*range(40), 39]] + [(52, text(1), "other", "fr", 1)])
+    every = {r["doc_id"]: (r["text"], r["n_removed"], r["kept"]) for r in quality.quality_rules(t).collect()}
+    assert every[39] == (want(39), 1, True) and every[50] == (None, 0, False) and every[51] == ("", 2, False) and every[1] == (want(1), 2, True)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)) / 3

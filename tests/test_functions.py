@@ -13,30 +13,41 @@ def one(spark, f, *values):
 
 
 @pytest.mark.parametrize("raw, want", [
-    ("10.1234/abc", "10.1234/abc"), ("doi: 10.1234/abc.", "10.1234/abc"), ("https://doi.org/10.1234/a%28b%29", "10.1234/a(b)"), ("(see 10.1234/foo)", None),
-    ("10.3319/TAO.25.02(IWNOP)", "10.3319/TAO.25.02(IWNOP)"), ("10.1234/foo)", "10.1234/foo"), ("https://doi.org/10.1234/a+b", "10.1234/a+b"), ("n/a", None), ("", None),
+    ("10.5555/k7-2", "10.5555/k7-2"), ("doi: 10.5555/k7-2.", "10.5555/k7-2"), ("DOI:10.5555/k7-2,;", "10.5555/k7-2"), ("https://doi.org/10.5555/q%28r%29", "10.5555/q(r)"), ("[10.5555/k7-2]", None),
+    ("10.5555/S0(83)7:1(AB)", "10.5555/S0(83)7:1(AB)"), ("10.5555/m(n))].", "10.5555/m(n)"), ("10.5555/k7)", "10.5555/k7"), ("https://dx.doi.org/10.5555/u+v?x=1", "10.5555/u+v"), ("http://example.org/10.5555/k7", None),
+    ("none", None), ("", None), (None, None),
 ])
 def test_doi(spark, raw, want):
     assert one(spark, identifiers.doi, raw) == want
 
 
-@pytest.mark.parametrize("raw, want", [("0-8044-2957-X", "9780804429573"), ("978-0-306-40615-7", "9780306406157"), ("9780306406158", None), ("isbn: 0306406152", "9780306406157"), ("x", None)])
+@pytest.mark.parametrize("raw, want", [
+    ("0-393-04002-X", "9780393040029"), ("978-0-13-110362-7", "9780131103627"), ("9780131103628", None), ("isbn: 0131103628", "9780131103627"), ("https://books.example/isbn/9780131103627/view", "9780131103627"), ("none", None),
+])
 def test_isbn(spark, raw, want):
     assert one(spark, identifiers.isbn13, raw) == want
 
 
-@pytest.mark.parametrize("raw, want", [("arXiv:2401.00001v2", "2401.00001"), ("https://arxiv.org/abs/2401.00001", "2401.00001"), ("10.48550/arXiv.2401.00001", "2401.00001"), ("hep-th/9901001v1", "hep-th/9901001"), ("2401", None)])
+@pytest.mark.parametrize("raw, want", [
+    ("arXiv:1907.04321v3", "1907.04321"), ("https://arxiv.org/abs/1907.04321", "1907.04321"), ("https://www.arxiv.org/pdf/1907.04321v1.pdf", "1907.04321"), ("10.48550/arXiv.1907.04321", "1907.04321"),
+    ("https://doi.org/10.48550/arXiv.1907.04321", "1907.04321"), ("math.GT/0309136v2", "math.GT/0309136"), ("1907", None), (None, None),
+])
 def test_arxiv(spark, raw, want):
     assert one(spark, identifiers.arxiv_key, raw) == want
 
 
-@pytest.mark.parametrize("raw, want", [("The <i>Étude</i> &amp; Co.", "etude co"), ("A/B testing", "a b testing"), ("  a   Study:  two ", "study two"), ("…", ""), (None, "")])
+def test_arxiv_of_extra(spark):
+    assert one(spark, identifiers.arxiv_key_of_extra, "Note: x\n arXiv: 1907.04321v2 [math]\nb") == "1907.04321" and one(spark, identifiers.arxiv_key_of_extra, "arXiv") is None
+
+
+@pytest.mark.parametrize("raw, want", [("An <b>Über</b>blick &amp; more", "uber blick more"), ("Ώρα über Straße", "ωρα uber strasse"), ("Either/or, again", "either or again"), ("  the   Plan:  nine ", "plan nine"), ("!?", ""), (None, "")])
 def test_title(spark, raw, want):
     assert one(spark, identifiers.title_key, raw) == want
 
 
 def test_fold_and_variants():
-    assert fold_text("Straße–Ø") == "strasse-o"
+    assert fold_text("Straße–Ø") == "strasse-o" and fold_text("Щука и Ёж") == "shchuka i iozh" and fold_text("Θεός Ψυχή") == "theos psychi"
+    assert variants("naive set") == ["naive set", "naive-set"] and variants("") == [] and variants("  ") == ["  "]
     assert variants("Müller-Lüdenscheid") == sorted({"Müller-Lüdenscheid", "Muller-Ludenscheid", "Müller Lüdenscheid", "Muller Ludenscheid", "Mueller-Luedenscheid"})
 
 

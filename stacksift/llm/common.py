@@ -54,8 +54,9 @@ def fold_of(doc_id: Column | str, n: int) -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 256, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most so many rows, and characters but for one longer text."""
-    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
+    """The batch in parts of at most so many rows, and characters (bytes of a binary column) but for one longer value."""
+    values = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(values) if pa.types.is_binary(values.type) else pc.utf8_length(values), 0).to_pylist()
     at = 0
     while at < batch.num_rows:
         n, total = 1, sizes[at]

@@ -7,8 +7,9 @@ same result. A piece weighs (1 / (rank + RANK)) ** alpha. The forward pass sums
 place; the backward pass draws, from the end, the piece that ends there in proportion. Draws come from a hash of
 the row's key, the unit's number and the step, so a row is segmented alike wherever it is computed.
 
-Forward passes run for all new units of a batch at once and are kept for at most KEEP units in a task; backward
-steps run for all units of a batch at once.
+Units are taken in groups of GROUP characters (one longer unit is a group of its own), however long a text is. Forward
+passes run for all new units of a group at once and are kept up to about KEEP edges in a task; backward steps run for
+all units of a group at once.
 
 Defined cases: null texts and empty texts have no pieces (decoded: null and empty); control pieces never match
 text; a literal space mark is spelled in bytes, so decoding gives back every text; a null key counts as 0;
@@ -25,19 +26,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix
+from .common import mix, slices
 
 MARK = "▁"
 #: Stands for a literal space mark; a lone surrogate is in no valid text.
 LITERAL = "\ud800"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 RANK = 10.0
-KEEP = 250_000
+#: Edges of lattices that a task keeps, about: 24 bytes each, at most doubled by spare room. Beyond it all are dropped.
+KEEP = 1_500_000
+#: Characters of units that are filtered and sampled at once.
+GROUP = 1 << 17
 #: Shares of a state are whole numbers below this, so draws don't depend on what else a task has seen.
 ONE = (1 << 32) - 1
 CHAR = 21  # bits of a code point
 
 
+class _Growing:
+    """An array that takes values at its end; its room doubles when it runs out."""
+
+    def __init__(self, kind: type):
+        self.room, self.n = np.zeros(1 << 10, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.room):
+            more = np.zeros(max(need, 2 * len(self.room)), self.room.dtype)
+            more[: self.n] = self.view
+            self.room = more
+        self.room[self.n : need] = values
+        self.n = need
+
+    @property
+    def view(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class PieceSampler:
     def __init__(self, path: str, alpha: float = 1.0, seed: int = 0):
         from sentencepiece import SentencePieceProcessor
@@ -83,7 +107,7 @@ class PieceSampler:
     def _reset(self) -> None:
         self.base: dict[str, int] = {}
         #: the shares, first states, offsets and sizes of all edges, the pool of ids, and which states begin a unit
-        self.arrays = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32, bool)]
+        self.arrays = [_Growing(t) for t in (np.int64, np.int32, np.int32, np.int32, np.int32, bool)]
 
     def _filter(self, units: list[str]) -> None:
         """Add the states and edges of new units."""
@@ -143,7 +167,7 @@ class PieceSampler:
             share[e] += share[e - 1]
         share = np.minimum(share * ONE, ONE).astype(np.int64)
         share[new + counts - 1] = ONE
-        states, pooled = len(self.arrays[5]), len(self.arrays[4])
+        states, pooled = self.arrays[5].n, self.arrays[4].n
         spelled = [[self.bytes[x] for x in (MARK if text[i] == LITERAL else text[i]).encode()] for i in start[ids < 0]]
         lens = np.ones(len(ids), np.int64)
         lens[ids < 0] = [len(x) for x in spelled]
@@ -156,29 +180,45 @@ class PieceSampler:
         begins = np.zeros(len(ways), bool)
         begins[begin + np.arange(len(units))] = True
         added = ((last + states << 32) + share, first + states, offset + pooled, lens, pool, begins)
-        self.arrays = [np.concatenate([a, x]) for a, x in zip(self.arrays, added, strict=True)]
+        for a, x in zip(self.arrays, added, strict=True):
+            a.add(x)
         self.base.update(zip(units, (begin + n + np.arange(len(units)) + states).tolist(), strict=True))
 
     def encode(self, texts: list[str | None], keys: list[int | None]) -> list[np.ndarray]:
         """The sampled ids of each text."""
-        if len(self.base) > KEEP:
-            self._reset()
-        units = [UNIT.findall(MARK + (t.replace(MARK, LITERAL) if MARK in t else t).replace(" ", MARK)) if t else () for t in texts]
-        known = self.base
-        new = [u for u in dict.fromkeys(u for x in units for u in x) if u not in known]
-        if new:
-            self._filter(new)
-        counts = [len(x) for x in units]
-        ends = [known[u] for x in units for u in x]
-        if not ends:
+        units, counts = [], []
+        for t in texts:
+            of_text = UNIT.findall(MARK + (t.replace(MARK, LITERAL) if MARK in t else t).replace(" ", MARK)) if t else ()
+            units += of_text
+            counts.append(len(of_text))
+        if not units:
             return [np.zeros(0, np.int32) for _ in texts]
-        cum, start, offset, size, pool, first_of = self.arrays
         counts = np.array(counts)
         with np.errstate(over="ignore"):
             key = mix(np.array([k or 0 for k in keys], np.int64).view(np.uint64) + (self.seed << np.uint64(32)))
-            number = np.arange(len(ends)) - np.repeat(np.cumsum(counts) - counts, counts)
+            number = np.arange(len(units)) - np.repeat(np.cumsum(counts) - counts, counts)
             draw = mix(np.repeat(key, counts) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        state, live, steps = np.array(ends), np.arange(len(ends)), []
+        # units don't depend on each other, so they are taken in groups of a bounded number of characters
+        chars = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(chars, np.arange(GROUP, int(chars[-1]), GROUP), "right"), [len(units)]]))
+        groups = [self._sample(units[lo:hi], draw[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        ids, of_unit = (np.concatenate([g[k] for g in groups]) for k in (0, 1))
+        upto = np.concatenate([[0], np.cumsum(of_unit)])[np.cumsum(counts)]
+        return np.split(ids, upto[:-1])
+
+    def _sample(self, units: list[str], draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sampled ids of all units in turn, and how many each unit has."""
+        if self.arrays[0].n > KEEP:
+            self._reset()
+        known = self.base
+        new = [u for u in set(units) if u not in known]
+        if new:
+            self._filter(new)
+        ends = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        cum, start, offset, size, pool, first_of = (a.view for a in self.arrays)
+        # equal units side by side, so that their edges are looked up while they are near
+        live = np.argsort(ends)
+        state, steps = ends[live], []
         length = np.zeros(len(ends), np.int64)
         while len(live):
             with np.errstate(over="ignore"):
@@ -186,23 +226,19 @@ class PieceSampler:
             edge = np.searchsorted(cum, (state << 32) + np.minimum(u, ONE - 1), side="right")
             steps.append((live, edge))
             length[live] += 1
-            state = start[edge]
+            state = start[edge].astype(np.int64)
             more = ~first_of[state]
             state, live = state[more], live[more]
         edges = np.empty(int(length.sum()), np.int64)
         last = np.cumsum(length) - 1
         for k, (who, edge) in enumerate(steps):
             edges[last[who] - k] = edge
-        sizes = size[edges]
+        sizes = size[edges].astype(np.int64)
         if int(sizes.max()) == 1:
-            ids = pool[offset[edges]]
-        else:
-            ends_at = np.cumsum(sizes)
-            ids = pool[np.repeat(offset[edges] - (ends_at - sizes), sizes) + np.arange(int(ends_at[-1]))]
-        of_unit = np.add.reduceat(sizes, last - length + 1)
-        per_text = np.zeros(len(texts), np.int64)
-        np.add.at(per_text, np.repeat(np.arange(len(texts)), counts), of_unit)
-        return np.split(ids, np.cumsum(per_text)[:-1])
+            return pool[offset[edges]], length
+        ends_at = np.cumsum(sizes)
+        ids = pool[np.repeat(offset[edges] - (ends_at - sizes), sizes) + np.arange(int(ends_at[-1]))]
+        return ids, np.add.reduceat(sizes, last - length + 1)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.spelled.__getitem__, ids.tolist()))[1:].decode()
@@ -222,8 +258,7 @@ def _run(docs: DataFrame, path: str, alpha: float, seed: int, digested: bool) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = PieceSampler(path, alpha, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
+            for b in slices(batch):
                 texts, keys = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
                 ids = s.encode(texts, keys)
                 if digested:

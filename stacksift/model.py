@@ -66,37 +66,46 @@ class Library:
         rows = self.library_groups().filter("group_id is not null")
         return rows if self.group_id is None else rows.filter(F.col("group_id") == self.group_id)
 
-    def creators_of_items(self) -> DataFrame:
+    def own(self, rows: DataFrame) -> DataFrame:
+        """The rows (with libraryID) of the one library that is looked at; all, if it is none in particular."""
+        return rows if self.group_id is None else rows.join(F.broadcast(self.scope().select("libraryID")), "libraryID", "left_semi")
+
+    @staticmethod
+    def _of(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+        """The side table's rows of the wanted items: filtered before they are grouped."""
+        return rows if ids is None else rows.join(ids.select("itemID"), "itemID", "left_semi")
+
+    def creators_of_items(self, ids: DataFrame | None = None) -> DataFrame:
         def make() -> DataFrame:
-            j = self["itemCreators"].join(self["creators"], "creatorID").join(self["creatorTypes"], "creatorTypeID", "left")
+            j = self._of(self["itemCreators"], ids).join(self["creators"], "creatorID").join(self["creatorTypes"], "creatorTypeID", "left")
             one = F.struct("orderIndex", "creatorType", F.coalesce("firstName", F.lit("")).alias("firstName"), F.coalesce("lastName", F.lit("")).alias("lastName"))
             got = j.groupBy("itemID").agg(F.array_sort(F.collect_list(one)).alias("c"))
             return got.select("itemID", F.transform("c", lambda c: F.struct(c["creatorType"].alias("creatorType"), c["firstName"].alias("firstName"), c["lastName"].alias("lastName"))).alias("creators"))
 
-        return self._view("creators", make)
+        return self._view("creators", make) if ids is None else make()
 
-    def tags_of_items(self) -> DataFrame:
+    def tags_of_items(self, ids: DataFrame | None = None) -> DataFrame:
         def make() -> DataFrame:
-            j = self["itemTags"].join(self["tags"], "tagID")
+            j = self._of(self["itemTags"], ids).join(self["tags"], "tagID")
             return j.groupBy("itemID").agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("tag"), F.coalesce("type", F.lit(0)).alias("type")))).alias("tags"))
 
-        return self._view("tags", make)
+        return self._view("tags", make) if ids is None else make()
 
-    def collections_of_items(self) -> DataFrame:
-        j = self["collectionItems"].join(self["collections"].select("collectionID", "key"), "collectionID")
+    def collections_of_items(self, ids: DataFrame | None = None) -> DataFrame:
+        j = self._of(self["collectionItems"], ids).join(self["collections"].select("collectionID", "key"), "collectionID")
         return j.groupBy("itemID").agg(F.array_sort(F.collect_set("key")).alias("collections"))
 
-    def relations_of_items(self) -> DataFrame:
-        j = self["itemRelations"].join(self["relationPredicates"], "predicateID")
+    def relations_of_items(self, ids: DataFrame | None = None) -> DataFrame:
+        j = self._of(self["itemRelations"], ids).join(self["relationPredicates"], "predicateID")
         one = j.groupBy("itemID", "predicate").agg(F.array_sort(F.collect_list("object")).alias("objects"))
         return one.groupBy("itemID").agg(F.map_from_entries(F.collect_list(F.struct("predicate", "objects"))).alias("relations"))
 
-    def fields_of_items(self) -> DataFrame:
+    def fields_of_items(self, ids: DataFrame | None = None) -> DataFrame:
         """itemID and a map of field values under their base names: a type's own title field counts as title."""
         def make() -> DataFrame:
             base = self["baseFieldMappingsCombined"].join(self["fields"].select(F.col("fieldID").alias("baseFieldID"), F.col("fieldName").alias("baseName")), "baseFieldID")
             base = base.select(F.col("itemTypeID").alias("_t"), F.col("fieldID").alias("_f"), "baseName")
-            j = self["itemData"].join(self["itemDataValues"], "valueID").join(self["fields"], "fieldID").join(self["items"].select("itemID", "itemTypeID"), "itemID")
+            j = self._of(self["itemData"], ids).join(self["itemDataValues"], "valueID").join(self["fields"], "fieldID").join(self["items"].select("itemID", "itemTypeID"), "itemID")
             j = j.join(F.broadcast(base), (F.col("itemTypeID") == F.col("_t")) & (F.col("fieldID") == F.col("_f")), "left")
             names = F.array_distinct(F.array_compact(F.array("fieldName", "baseName")))
             flat = j.select("itemID", F.explode(names).alias("name"), "value", (F.col("baseName").isNotNull()).alias("mapped"))
@@ -104,17 +113,20 @@ class Library:
             best = flat.groupBy("itemID", "name").agg(F.max_by("value", F.struct("mapped", "value")).alias("value"))
             return best.groupBy("itemID").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("fields"))
 
-        return self._view("fields", make)
+        return self._view("fields", make) if ids is None else make()
 
     def live(self, df: DataFrame, key: str = "itemID") -> DataFrame:
         gone = self["deletedItems"].select(F.col("itemID").alias("_gone")).distinct()
         return df.join(gone, df[key] == gone["_gone"], "left_anti")
 
-    def items_view(self, trashed: bool = True) -> DataFrame:
-        """One row an item: key, type, dates, fields, creators, tags, collections, library; arrays are on the row."""
+    def items_view(self, trashed: bool = True, ids: DataFrame | None = None) -> DataFrame:
+        """One row an item: key, type, dates, fields, creators, tags, collections, library; arrays are on the row.
+
+        ids: the items that are wanted (itemID); all side tables are cut to them before they are grouped.
+        """
         def make() -> DataFrame:
-            i = self["items"].join(F.broadcast(self["itemTypes"]), "itemTypeID").join(F.broadcast(self.library_groups()), "libraryID", "left")
-            for part in (self.fields_of_items(), self.creators_of_items(), self.tags_of_items(), self.collections_of_items()):
+            i = self._of(self["items"], ids).join(F.broadcast(self["itemTypes"]), "itemTypeID").join(F.broadcast(self.library_groups()), "libraryID", "left")
+            for part in (self.fields_of_items(ids), self.creators_of_items(ids), self.tags_of_items(ids), self.collections_of_items(ids)):
                 i = i.join(part, "itemID", "left")
             for name, kind in (("creators", "array<struct<creatorType:string,firstName:string,lastName:string>>"), ("tags", "array<struct<tag:string,type:int>>"), ("collections", "array<string>")):
                 i = i.withColumn(name, F.coalesce(name, F.array().cast(kind)))
@@ -122,7 +134,7 @@ class Library:
             named = ("title", "abstractNote", "DOI", "publicationTitle", "url", "ISBN", "date", "extra", "language", "archiveID")
             return i.select("itemID", "key", F.col("typeName").alias("itemType"), "libraryID", "group_id", "label", "dateAdded", "dateModified", "fields", *(value(n).alias(n) for n in named), "creators", "tags", "collections")
 
-        view = self._view("items", make)
+        view = self._view("items", make) if ids is None else make()
         return view if trashed else self.live(view)
 
     def searchable(self) -> DataFrame:
@@ -135,15 +147,15 @@ class Library:
         parts = [self[t].select("itemID", "parentItemID", F.lit(k).alias("kind")) for t, k in (("itemAttachments", "attachment"), ("itemNotes", "note"), ("itemAnnotations", "annotation"))]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-    def full_items(self) -> DataFrame:
+    def full_items(self, ids: DataFrame | None = None) -> DataFrame:
         """items_view with the columns of attachments, notes and annotations, and the parent's key."""
-        i = self.items_view().join(self["itemAttachments"].select("itemID", "linkMode", "contentType", "path"), "itemID", "left")
+        i = self.items_view(ids=ids).join(self["itemAttachments"].select("itemID", "linkMode", "contentType", "path"), "itemID", "left")
         i = i.join(self["itemNotes"].select("itemID", "note"), "itemID", "left")
         a = self["itemAnnotations"].select("itemID", F.col("type").alias("annotationType"), F.col("text").alias("annotationText"), F.col("comment").alias("annotationComment"), F.col("color").alias("annotationColor"), F.col("pageLabel").alias("annotationPageLabel"), F.col("sortIndex").alias("annotationSortIndex"), F.col("position").alias("annotationPosition"))
         i = i.join(a, "itemID", "left").join(self.edges().select("itemID", "parentItemID"), "itemID", "left")
         p = self["items"].select(F.col("itemID").alias("parentItemID"), F.col("key").alias("parentItem"))
         d = self["deletedItems"].select("itemID", F.lit(True).alias("deleted")).distinct()
-        return i.join(p, "parentItemID", "left").join(self.relations_of_items(), "itemID", "left").join(d, "itemID", "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+        return i.join(p, "parentItemID", "left").join(self.relations_of_items(ids), "itemID", "left").join(d, "itemID", "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
 
 
 def project(items: DataFrame, detail: str = "summary") -> DataFrame:

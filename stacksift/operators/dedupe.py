@@ -27,6 +27,11 @@ def groups(items: DataFrame, kinds: tuple[str, ...] = ("doi", "title"), key: str
     return g.filter("n >= 2").select("kind", "value", "keys", "n")
 
 
+def totals(found: DataFrame) -> DataFrame:
+    """kind, groups, items of the groups, by kind."""
+    return found.groupBy("kind").agg(F.count("*").alias("groups"), F.sum("n").alias("items"))
+
+
 def page(found: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return found.orderBy("kind", "value").offset(max(0, offset)).limit(limit)
 

@@ -122,17 +122,24 @@ def context(text: Column, query: str, before: int = 100, after: int = 200) -> Co
     return F.when(at > 0, F.substring(text, F.greatest(at - before, F.lit(1)), F.lit(before + len(query) + after)))
 
 
-def notes(library: Library, query: str, limit: int = 20) -> DataFrame:
-    """Notes with the query in their HTML; the limit comes before the look at the clean text, as markup can hide it."""
-    hit = library.live(library["itemNotes"]).filter(ascii_lower(F.col("note")).contains(ascii_lower_text(query))).orderBy("itemID").limit(limit)
+def notes(library: Library, query: str, limit: int = 20, complete: bool = False) -> DataFrame:
+    """Notes with the query in their HTML and their clean text.
+
+    The limit counts hits in the HTML, so those inside a tag take places; with `complete`, it counts clean hits.
+    Searches of notes and annotations see all libraries.
+    """
     text = clean_html(F.col("note"), True)
-    named = _with_titles(library, hit.filter(F.lower(text).contains(query.lower())), "parentItemID")
+    clean = F.lower(text).contains(query.lower())
+    hit = library.live(library["itemNotes"]).filter(ascii_lower(F.col("note")).contains(ascii_lower_text(query)))
+    hit = (hit.filter(clean) if complete else hit).orderBy("itemID").limit(limit)
+    named = _with_titles(library, hit.filter(clean), "parentItemID")
     return named.select(F.lit("note").alias("kind"), "itemID", "key", "parent_title", context(text, query).alias("context"))
 
 
 def _with_titles(library: Library, rows: DataFrame, parent: str) -> DataFrame:
     keys = library["items"].select("itemID", "key")
-    titles = library.items_view().select(F.col("itemID").alias("_p"), F.coalesce("title", F.lit("Untitled")).alias("parent_title"))
+    up = rows.select(F.col(parent).alias("itemID")).filter("itemID is not null").distinct()
+    titles = library.items_view(ids=up).select(F.col("itemID").alias("_p"), F.coalesce("title", F.lit("Untitled")).alias("parent_title"))
     return rows.join(keys, "itemID").join(titles, F.col(parent) == F.col("_p"), "left").drop("_p")
 
 
@@ -164,14 +171,18 @@ def recent(library: Library, limit: int = 10, collection: str | None = None, sor
     child = library["itemTypes"].filter(F.col("typeName").isin(*CHILD_TYPES)).select("itemTypeID")
     slim = library.live(library["items"]).join(F.broadcast(child), "itemTypeID", "left_anti").join(F.broadcast(library.scope().select("libraryID")), "libraryID", "left_semi")
     page = slim.orderBy(*newest_first(sort, "itemID", direction == "asc")).limit(n).select("itemID")
-    return library.items_view().join(F.broadcast(page), "itemID", "left_semi").orderBy(*newest_first(sort, "itemID", direction == "asc"))
+    return library.items_view(ids=F.broadcast(page)).orderBy(*newest_first(sort, "itemID", direction == "asc"))
 
 
 def items(library: Library, keys: DataFrame | list[str], trashed: bool = True, full: bool = True) -> DataFrame:
-    """Full records by key: a short list is a filter, a table a semi-join."""
-    rows = library.full_items() if full else library.items_view()
-    rows = rows.filter(F.col("key").isin(*keys)) if isinstance(keys, list) else rows.join(keys.select("key"), "key", "left_semi")
-    return rows if trashed else library.live(rows)
+    """Full records by key, of the one library that is looked at: a short list is a filter, a table a semi-join.
+
+    The ids are found first, and side tables are read for those alone.
+    """
+    own = library.own(library["items"])
+    own = own.filter(F.col("key").isin(*keys)) if isinstance(keys, list) else own.join(keys.select("key"), "key", "left_semi")
+    ids = (own if trashed else library.live(own)).select("itemID")
+    return library.full_items(ids) if full else library.items_view(ids=ids)
 
 
 def of_type(library: Library, item_type: str, limit: int = 100, tag=None) -> DataFrame:
@@ -181,16 +192,15 @@ def of_type(library: Library, item_type: str, limit: int = 100, tag=None) -> Dat
 
 
 def children(library: Library, keys: list[str]) -> DataFrame:
-    """parent key and its live children in order; a parent without any has an empty array."""
-    parents = library["items"].filter(F.col("key").isin(*keys)).select(F.col("key").alias("parent"), F.col("itemID").alias("parentItemID"))
+    """parent key and its live children in order; a parent without any has an empty array. One pass for all parents."""
+    parents = library.own(library["items"]).filter(F.col("key").isin(*keys)).select(F.col("key").alias("parent"), F.col("itemID").alias("parentItemID"))
     kids = library.live(library.edges()).join(library["items"].select("itemID", "key"), "itemID").select("parentItemID", F.struct("itemID", "key", "kind").alias("child"))
-    j = parents.join(kids, "parentItemID", "left").groupBy("parent").agg(F.array_sort(F.collect_list("child")).alias("children"))
-    return j.orderBy("parent")
+    return parents.join(kids, "parentItemID", "left").groupBy("parent").agg(F.array_sort(F.collect_list("child")).alias("children"))
 
 
 def attachments(library: Library, key: str) -> DataFrame:
     """PDFs first, then by itemID; trashed ones out."""
-    p = library["items"].filter(F.col("key") == key).select(F.col("itemID").alias("parentItemID"))
+    p = library.own(library["items"]).filter(F.col("key") == key).select(F.col("itemID").alias("parentItemID"))
     rows = library.live(library["itemAttachments"]).join(p, "parentItemID", "left_semi").join(library["items"].select("itemID", "key"), "itemID")
     return rows.orderBy((F.col("contentType") == "application/pdf").desc_nulls_last(), "itemID")
 
@@ -208,15 +218,18 @@ def related(library: Library, key: str) -> DataFrame:
     """predicate, key of related items, once each."""
     from ..functions.records import related_key
 
-    own = library["items"].filter(F.col("key") == key).select("itemID")
+    own = library.own(library["items"]).filter(F.col("key") == key).select("itemID")
     r = library["itemRelations"].join(own, "itemID", "left_semi").join(library["relationPredicates"], "predicateID").select("predicate", related_key(F.col("object")).alias("key"))
-    return r.filter("key is not null").distinct().join(library.items_view().select("key", "title", "itemType"), "key").orderBy("predicate", "key")
+    r = r.filter("key is not null").distinct()
+    ids = library.own(library["items"]).join(r.select("key"), "key", "left_semi").select("itemID")
+    return r.join(library.items_view(ids=ids).select("key", "title", "itemType"), "key").select("predicate", "key", "title", "itemType")
 
 
 def collection_items(library: Library, key: str, recursive: bool = False, limit: int = 50, offset: int = 0) -> DataFrame:
     """Live top-level items of a collection with what hangs below them: has_pdf, attachment_count, has_notes."""
     keys = subtree_keys(library, key, recursive)
-    top = library.items_view(trashed=False).filter(F.arrays_overlap("collections", F.array(*map(F.lit, keys))) & ~F.col("itemType").isin("annotation", "note"))
+    inside = library["collectionItems"].join(library["collections"].filter(F.col("key").isin(*keys)).select("collectionID"), "collectionID", "left_semi")
+    top = library.own(library.items_view(trashed=False, ids=inside)).filter(~F.col("itemType").isin("annotation", "note"))
     a = library.live(library["itemAttachments"]).groupBy("parentItemID").agg(F.count("*").alias("attachment_count"), F.max(F.col("contentType") == "application/pdf").alias("has_pdf"))
     n = library.live(library["itemNotes"]).filter("parentItemID is not null").groupBy("parentItemID").agg(F.lit(True).alias("has_notes"))
     page = top.orderBy("itemID").offset(max(0, offset)).limit(limit)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -105,6 +106,12 @@ def ascii_lower(col: Column) -> Column:
     return F.when(col.rlike(r"[^\x00-\x7F]"), F.translate(col, upper, upper.lower())).otherwise(F.lower(col))
 
 
+def contains_any(col: Column, forms: list[str]) -> Column:
+    """Whether the text in ASCII lower case, which is made once, holds any of the forms (in ASCII lower case)."""
+    low = F.array(ascii_lower(F.coalesce(col, F.lit(""))))
+    return F.exists(low, lambda x: reduce(Column.__or__, [x.contains(f) for f in forms]))
+
+
 def ascii_lower_text(value: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in value)
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,28 +74,39 @@ def plans(found: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def mergeable(found: DataFrame, items: DataFrame, most: int = 200) -> DataFrame:
-    """groups with `declined`: mixed types, several DOIs, an item of an earlier group, or beyond the most.
+    """groups with `declined`: mixed types, several DOIs, an item of an earlier group that is merged, or beyond the most.
 
-    The rule on overlap goes in the order of groups, so it runs over candidate groups alone, on the driver.
+    Groups count in the order of kind and value. A group that comes first for all of its items is merged; those that
+    share an item with it aren't; the rest is looked at again. Each round is distributed, and settles the first group
+    of every chain at least; groups without a shared item are settled in the first.
     """
     from ..functions.identifiers import doi_key
 
     m = found.select("kind", "value", F.explode("keys").alias("key")).join(items.select("key", "itemType", doi_key(F.col("DOI")).alias("doi")), "key")
     f = m.groupBy("kind", "value").agg(F.countDistinct("itemType").alias("types"), F.countDistinct("doi").alias("dois"), F.array_sort(F.collect_list("key")).alias("keys"))
-    taken: set[str] = set()
-    out = []
-    for r in f.orderBy("kind", "value").toLocalIterator():
-        why = "mixed types" if r["types"] > 1 else "different DOIs" if r["dois"] > 1 else "overlap" if taken & set(r["keys"]) else "too many" if sum(x[3] is None for x in out) >= most else None
-        if why is None:
-            taken |= set(r["keys"])
-        out.append((r["kind"], r["value"], r["keys"], why))
-    return found.sparkSession.createDataFrame(out, "kind string, value string, keys array<string>, declined string")
+    f = f.withColumn("why", F.when(F.col("types") > 1, "mixed types").when(F.col("dois") > 1, "different DOIs")).select("kind", "value", "keys", "why")
+    place = F.struct("kind", "value").alias("place")
+    left = f.filter("why is null").select(place, F.explode("keys").alias("key")).cache()
+    rounds = [left.limit(0)]
+    while not left.isEmpty():  # every round reads what the one before kept
+        first = left.groupBy("key").agg(F.min("place").alias("first"))
+        state = left.join(first, "key").groupBy("place").agg(F.min(F.col("place") == F.col("first")).alias("leads"))
+        rounds.append(left.join(state.filter("leads"), "place", "left_semi").select("place", "key").cache())
+        met = left.join(rounds[-1].select("key"), "key", "left_semi").select("place").distinct()
+        left = left.join(met, "place", "left_anti").cache()
+    merged = reduce(DataFrame.unionByName, rounds)
+    kept = merged.select("place").distinct().orderBy("place").limit(most)
+    taken = merged.join(kept, "place", "left_semi").groupBy("key").agg(F.min("place").alias("by"))
+    shares = f.filter("why is null").select(place, F.explode("keys").alias("key")).join(taken, "key").filter(F.col("by") < F.col("place")).select("place").distinct().withColumn("shares", F.lit(True))
+    out = f.withColumn("place", place).join(kept.withColumn("kept", F.lit(True)), "place", "left").join(shares, "place", "left")
+    why = F.coalesce("why", F.when(F.col("kept"), F.lit(None).cast("string")).when(F.col("shares"), "overlap").otherwise("too many"))
+    return out.select("kind", "value", "keys", F.when(F.col("why").isNotNull() | F.col("kept").isNull(), why).alias("declined"))
 
 
 def plan_token(plan: DataFrame) -> str:
-    """12 hexadecimal digits that change with the plan; its rows are few, they were reviewed."""
-    rows = [r.asDict(recursive=True) for r in plan.orderBy("kind", "value").collect()]
-    return hashlib.sha256(json.dumps(rows, sort_keys=True, default=str).encode()).hexdigest()[:12]
+    """12 hexadecimal digits that change with the plan: rows are hashed where they are, their hashes in order once more."""
+    row = F.sha2(F.to_json(F.struct(*sorted(plan.columns)), {"ignoreNullFields": "false"}), 256)
+    return plan.select(row.alias("h")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h")).first()["h"][:12]
 
 
 def apply(plan: DataFrame, token: str) -> dict[str, DataFrame]:

@@ -22,9 +22,10 @@ def paths(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
         ring = F.exists("upath", lambda x: F.array_contains(seen, x["k"]))
         j = state.join(above, F.col("up") == F.col("uk"), "left")
         longer = F.when(F.col("upath").isNull() | ring, F.col("path")).otherwise(F.concat("upath", "path"))
-        state = j.select("k", F.when(~ring, F.col("uup")).alias("up"), longer.alias("path"))
-        state = state.cache()
-        if state.filter("up is not null").isEmpty():
+        held, state = state, j.select("k", F.when(~ring, F.col("uup")).alias("up"), longer.alias("path")).cache()
+        done = state.filter("up is not null").isEmpty()
+        held.unpersist()  # of the rounds, only the last one's rows stay
+        if done:
             return state.select(F.col("k").alias(key), F.transform("path", lambda x: x["n"]).alias("path"), F.size("path").alias("depth"))
 
 
@@ -37,8 +38,9 @@ def subtree(nodes: DataFrame, roots: list, key: str = "key", parent: str = "pare
         step = front.join(edges, F.col("node") == F.col("_p")).select("root", F.col("_c").alias("node")).distinct()
         front = step.join(found, ["root", "node"], "left_anti").cache()
         if front.isEmpty():
+            front.unpersist()
             return found
-        found = found.unionByName(front).cache()
+        found = found.unionByName(front)
 
 
 def collection_nodes(library) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fold import ascii_lower, ascii_lower_text, fold, fold_text, variants
+from ..functions.fold import ascii_lower, ascii_lower_text, contains_any, fold, fold_text, variants
 from ..functions.records import citation_key_of_extra, creator_name, doi_of_extra, format_creators
 from ..functions.text import clean_html
 from ..model import CHILD_TYPES, Library, newest_first
@@ -52,8 +52,7 @@ def keyword(library: Library, query: str, qmode: str = "titleCreatorYear", item_
     forms = [ascii_lower_text(v) for v in variants(query)]
 
     def has(col: Column) -> Column:
-        low = ascii_lower(F.coalesce(col, F.lit("")))
-        return reduce(Column.__or__, [low.contains(f) for f in forms])
+        return contains_any(col, forms)
 
     hit = has(F.col("title")) | has(F.col("date")) | F.exists("creators", lambda c: has(creator_name(c)) | has(c["lastName"]))
     if qmode == "everything":

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import identifiers, records, text
-from .functions.fold import fold, variants
+from .functions.fold import contains_any, fold, variants
 from .operators import dedupe, hierarchy, maintenance, reports, vectors
 from .plans.conditions import Condition, compile_all, date, multi, scalar, tag_language, where
 
@@ -92,12 +92,7 @@ _FORMS = variants("für-die")
 
 @query("SELECT doc_id, n_chars FROM documents WHERE " + " OR ".join(f"contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{v}')" for v in _FORMS))
 def keyword_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .functions.fold import ascii_lower
-
-    hit = F.lit(False)
-    for v in _FORMS:
-        hit = hit | ascii_lower(F.col("text")).contains(v)
-    return _t(spark, sf_dir, "documents").filter(hit).select("doc_id", "n_chars")
+    return _t(spark, sf_dir, "documents").filter(contains_any(F.col("text"), _FORMS)).select("doc_id", "n_chars")
 
 
 @query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) GROUP BY 1")
@@ -152,10 +147,11 @@ def tags_by_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.groupBy(F.upper(F.substring("name", 1, 1)).alias("letter")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
 
 
-@query("SELECT md5(lower(trim(text))) AS value, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) >= 2")
+@query("SELECT '10.5555/' || md5(lower(trim(text))) AS value, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) >= 2")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "documents").groupBy(F.md5(F.lower(F.trim("text"))).alias("value"))
-    return rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("n >= 2")
+    """Equal texts, as items that share a DOI."""
+    items = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("https://doi.org/10.5555/"), F.md5(F.lower(F.trim("text")))).alias("DOI"))
+    return dedupe.groups(items, ("doi",)).select("value", "n", F.array_min("keys").alias("first_id"), F.array_max("keys").alias("last_id"))
 
 
 @query("""SELECT value, doc_id AS keeper FROM (SELECT md5(d.text) AS value, d.doc_id, count(*) OVER (PARTITION BY md5(d.text)) AS n,
@@ -333,7 +329,7 @@ def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def passage_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in passages with their places; tested against a plain splitter."""
+    """Documents in passages with their places; tests hold the query against a plain splitter."""
     p = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.passages(F.col("text"), 1500, 200, 1 << 30)).alias("chunk_index", "p"))
     return p.select("doc_id", "chunk_index", "p.char_start", "p.char_end", F.md5("p.passage").alias("digest"))
 

@@ -24,10 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import SPACE, WORD, fold_of
 
 LETTER = re.compile(r"[^\W\d_]")
 SIZES = (4, 3, 2, 1)
+PART = 1 << 22
 
 
 @dataclass
@@ -63,9 +64,26 @@ class LanguageModel:
         return out
 
     def predict(self, texts: pd.Series) -> tuple[list[str], list[float]]:
-        """Unseen words are looked up once for each batch."""
+        """Languages and scores; texts are taken in parts of PART characters, but for one longer text."""
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
+        langs, scores, part, held = [], [], [], 0
+        for text in texts:
+            size = len(text) if text is not None else 0
+            if part and held + size > PART:
+                for out, got in zip((langs, scores), self._predict(part), strict=True):
+                    out += got
+                part, held = [], 0
+            part.append(text)
+            held += size
+        for out, got in zip((langs, scores), self._predict(part), strict=True):
+            out += got
+        return langs, scores
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Unseen words are looked up once for each part."""
+        if not texts:
+            return [], []
         known, seen = self.words, {}
         base = len(known)
         rows, counts, blank = [], [], []
@@ -75,7 +93,7 @@ class LanguageModel:
                 counts.append(0)
                 continue
             blank.append(False)
-            words = text.lower().split()
+            words = WORD.findall(text.lower())
             at = [known.get(w, -1) for w in words]
             if -1 in at:
                 for i, w in enumerate(words):
@@ -108,7 +126,7 @@ def fit(docs: DataFrame, max_rows: int = 4_000, max_words: int = 100_000, max_gr
         # hashes are even over 64 bits: this threshold leaves about the bound
         edge = int(-(2**63) + 2**64 * min(1.0, max_rows / n))
         rows = rows.filter(F.col("h") < edge)
-    words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[\s]+")).alias("w")).filter("w <> ''")
+    words = rows.select("lang", F.explode(F.split(F.lower("text"), f"[{SPACE}]+")).alias("w")).filter("w <> ''")
     counts = words.groupBy("w", "lang").agg(F.count("*").alias("c")).cache()
     try:
         per_lang = {r["lang"]: r["c"] for r in counts.groupBy("lang").agg(F.sum("c").alias("c")).collect()}

@@ -14,9 +14,14 @@ largest size it can be linked with.
    it can meet there, shares one of them with every set it is linked with, larger or smaller (the other side shares
    the key, and its heat), and loses nothing by leaving its hot ones out. The others are short, and pairs of two short
    sets remain.
-3. Short sets are indexed again with fewer, larger segments, by each subset and its one-deletion neighbourhood: a
-   segment whose keys are all cold now stands for two differences, as equal or within one insertion or deletion.
-4. Sets that are short again share an element among the n - ceil(3 n / 4) + 1 first of each, where elements that few
+3. Short sets are compared with one set under a few of their hot keys, turn by turn with other keys and other sets, and
+   join its component if they are linked. A hot key whose short sets are by then all of one component needs no further
+   look, so it counts like a cold one; sets that have enough of both are settled, as every set that they are linked
+   with is either compared or in their component. What a hot key holds is folded to its components before it moves.
+4. The sets that remain are indexed again with fewer, larger segments, by each subset and its one-deletion
+   neighbourhood: a segment whose keys are all cold now stands for two differences, as equal or within one insertion
+   or deletion.
+5. Sets that are short again share an element among the n - ceil(3 n / 4) + 1 first of each, where elements that few
    of these sets have come first. They are compared with the smallest set under each such element, where many pairs
    are left with a few further ones, and then with all sets under it that aren't yet in the same component, but for
    pairs whose elements before it already differ too much. Nothing is capped.
@@ -26,7 +31,8 @@ on the hashes, for each set with its smallest and largest partner first; candida
 component need no look, all others are verified too. Equal sets are one class before all this, so copies cost one set.
 
 Keys travel in packed blocks, at most `hot` + 1 a key and block, and meet in buckets that number with the input.
-The hot keys reach executors as a bitmap of fixed size; a false hit makes a set short, which costs time only.
+The hot keys reach executors as a bitmap of a bit for every 16 elements, 2**MOST_BITS bits at most; a false hit makes a
+set short, which costs time only.
 
 Defined cases: no words or a null text: empty set, size 0, linked with nothing; a null doc_id has a size but no
 component; rows that repeat a doc_id with other texts count as one node; other columns are not read.
@@ -46,8 +52,15 @@ from .graph import components
 
 SHINGLE = 5
 HOT = 24
-HOT_BITS = 23
-WINDOW_KEYS = 1_000_000
+#: Sizes of the bitmaps of hot keys; the largest takes 32 MB.
+LEAST_BITS, MOST_BITS = 20, 28
+WINDOW_KEYS = 500_000
+#: Keys of a bucket, about.
+BUCKET_KEYS = 1_000_000
+#: Turns in which short sets are compared with one set under each of STARS hot keys; they end early if they settle few.
+TURNS, STARS = 4, 2
+#: Parts into which the sets under a key are dealt for that.
+SALTS = 8
 #: Names of sets (8 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Further centres are tried while more pairs than this meet for each row that is left, and at most so many times.
@@ -146,20 +159,54 @@ def _place(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _spot(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+class Bits:
+    """A bitmap; places beyond the set ones are False."""
+
+    def __init__(self, bits: int, places: np.ndarray):
+        self.bits, self.data = bits, np.zeros(1 << (bits - 3), np.uint8)
+        np.bitwise_or.at(self.data, places >> 3, np.uint8(1) << (places & 7).astype(np.uint8))
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        return (self.data[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _spot(bucket: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
     """Where a key's bit is in the bitmap of hot keys."""
     with np.errstate(over="ignore"):
-        return (mix(bucket.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)) >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+        return (mix(bucket.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def short_of(at: np.ndarray, h: np.ndarray, n: np.ndarray, hot: np.ndarray, buckets: int, deletions: bool) -> np.ndarray:
-    """Which sets have too few cold keys in a layout they take part in, for the largest partner they can meet there."""
+def _layouts(n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each layout's step, which sets take part in it, and how many keys they need for the largest partner there."""
     band = np.searchsorted(BANDS, n, "right") - 1
     far = np.searchsorted(BANDS, 4 * n // 3, "right") - 1
-    out = np.zeros(len(n), bool)
     for step in (0, 1):
+        most = np.minimum(4 * n // 3, BANDS[band + step + 1] - 1)
+        yield step, (band >= 0) & (band + step <= far), (n + most) // 7 + 1
+
+
+def heat_of(at: np.ndarray, h: np.ndarray, n: np.ndarray, hot: Bits, buckets: int) -> tuple[np.ndarray, list[tuple[np.ndarray, list[np.ndarray]]]]:
+    """Which sets have too few cold keys in a layout they take part in; for each layout how many each set lacks, and
+    where its hot keys are in the bitmap."""
+    short, out = np.zeros(len(n), bool), []
+    for step, use, need in _layouts(n):
+        key, who, _, _ = keys(at, h, n, False, (step,))
+        spot = _spot(*_place(key, buckets), hot.bits)
+        is_hot = hot[spot]
+        lacks = np.where(use, need - np.bincount(who[~is_hot], minlength=len(n)), 0)
+        short |= lacks > 0
+        order = np.argsort(who[is_hot], kind="stable")
+        spots = np.split(spot[is_hot][order].astype(np.int32), np.cumsum(np.bincount(who[is_hot], minlength=len(n)))[:-1])
+        out.append((lacks, spots))
+    return short, out
+
+
+def short_of(at: np.ndarray, h: np.ndarray, n: np.ndarray, hot: Bits, buckets: int, deletions: bool) -> np.ndarray:
+    """Which sets have too few cold keys in a layout they take part in, for the largest partner they can meet there."""
+    out = np.zeros(len(n), bool)
+    for step, use, need in _layouts(n):
         key, who, segment, less = keys(at, h, n, deletions, (step,))
-        cold = ~hot[_spot(*_place(key, buckets))]
+        cold = ~hot[_spot(*_place(key, buckets), hot.bits)]
         units = np.bincount(who[~less], cold[~less], len(n))
         if deletions:
             number = int(segment.max()) + 1 if len(segment) else 0
@@ -168,8 +215,7 @@ def short_of(at: np.ndarray, h: np.ndarray, n: np.ndarray, hot: np.ndarray, buck
             of = np.zeros(number, np.int64)
             of[segment] = who
             units += np.bincount(of[rich & ~bad], minlength=len(n))
-        most = np.minimum(4 * n // 3, BANDS[band + step + 1] - 1)
-        out |= (band >= 0) & (band + step <= far) & (units < (n + most) // 7 + 1)
+        out |= use & (units < need)
     return out
 
 
@@ -217,7 +263,7 @@ class _Packer:
         self.clear()
 
 
-def _met(blocks: list[tuple[bytes, bytes, bytes, bytes]], bucket: int, most: int) -> pa.RecordBatch:
+def _met(blocks: list[tuple[bytes, bytes, bytes, bytes]], bucket: int, most: int, bits: int) -> pa.RecordBatch:
     """Candidate pairs of one bucket, and the places of its hot keys."""
     low, who, fps, sizes, base = [], [], [], [], 0
     for k, s, f, z in blocks:
@@ -233,7 +279,7 @@ def _met(blocks: list[tuple[bytes, bytes, bytes, bytes]], bucket: int, most: int
     key, node = code >> np.uint64(32), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(new, append=len(key))
-    hot = _spot(np.full(int((size > most).sum()), bucket), key[new[size > most]].astype(np.uint32))
+    hot = _spot(np.full(int((size > most).sum()), bucket), key[new[size > most]].astype(np.uint32), bits)
     ok = np.repeat((size > 1) & (size <= most), size)
     key, node = key[ok], node[ok]
     found = [np.zeros(0, np.int64)]
@@ -256,7 +302,7 @@ def _met(blocks: list[tuple[bytes, bytes, bytes, bytes]], bucket: int, most: int
     ], ["a", "b", "hot"])
 
 
-def _meet(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
+def _meet(blocks: DataFrame, buckets: int, most: int, bits: int) -> DataFrame:
     """a, b of candidates or hot (a place in the bitmap of hot keys), written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,24 +310,91 @@ def _meet(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
         for b in batches:
             for bucket, *rest in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if bucket != now and held:
-                    yield _met(held, now, most)
+                    yield _met(held, now, most, bits)
                     held = []
                 now = bucket
                 held.append(rest)
         if held:
-            yield _met(held, now, most)
+            yield _met(held, now, most, bits)
 
     return written(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, hot long"))
 
 
-def _hot_bitmap(met: DataFrame) -> np.ndarray:
-    """At most 2**HOT_BITS places come to the driver."""
-    out = np.zeros(1 << HOT_BITS, bool)
-    places = met.filter("hot is not null").select("hot").distinct().toArrow().column("hot")
-    out[np.asarray(places, np.int64)] = True
+def _bitmap(places: DataFrame, bits: int) -> Bits:
+    """Of a column of places; they are packed to words of 32 bits before they come to the driver, 2**(bits - 5) at most."""
+    x = places.toDF("x").distinct()
+    words = x.groupBy(F.shiftright("x", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 31 as int))")).alias("v")).toArrow()
+    out = Bits(bits, np.zeros(0, np.int64))
+    out.data.view("<u4")[np.asarray(words.column("w"), np.int64)] = np.asarray(words.column("v"), np.int64)
     return out
 
 
+def _stars(profile: DataFrame, live: Bits, turn: int) -> DataFrame:
+    """Pairs (a < b) of sets with the one set that is chosen under each of a few of their live hot keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for t in batches for part in slices(t, "spots0", 4096)):
+            who, spot = _spots(b, live)
+            with np.errstate(over="ignore"):
+                order = np.lexsort((mix(spot.astype(np.uint64) + np.uint64(turn) * _STEP), who))
+            who, spot = who[order], spot[order]
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            rank = np.arange(len(who)) - np.repeat(first, np.diff(first, append=len(who)))
+            who, spot = who[rank < STARS], spot[rank < STARS]
+            at = pa.array(who)
+            yield pa.RecordBatch.from_arrays([pa.array(spot, pa.int64()), b.column("fp").take(at), b.column("n").take(at)], ["spot", "fp", "n"])
+
+    rows = profile.mapInArrow(run, "spot long, fp long, n long")
+    centre = rows.groupBy("spot").agg(F.min_by(F.struct("fp", "n"), F.xxhash64("fp", F.lit(turn))).alias("c"), F.count("*").alias("many")).filter("many > 1")
+    # a key may hold very many sets: they are dealt to parts, each of which has the one set
+    centre = centre.select(F.col("spot").alias("c_spot"), F.col("c.fp").alias("c_fp"), F.col("c.n").alias("c_n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    fit = (F.col("fp") != F.col("c_fp")) & (4 * F.least("n", "c_n") >= 3 * F.greatest("n", "c_n"))
+    both = rows.join(centre, (F.col("spot") == F.col("c_spot")) & (F.pmod("fp", F.lit(SALTS)) == F.col("salt")) & fit)
+    return both.select(F.least("fp", "c_fp").alias("a"), F.greatest("fp", "c_fp").alias("b")).distinct()
+
+
+def _spots(b: pa.RecordBatch, live: Bits | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and places of the (live) hot keys of a batch of profiles."""
+    got = [np.frombuffer(x.as_py(), np.int32) for k in ("spots0", "spots1") for x in b.column(k)]
+    who = np.repeat(np.tile(np.arange(b.num_rows), 2), [len(x) for x in got])
+    spot = np.concatenate([np.zeros(0, np.int32), *got]).astype(np.int64)
+    if live is None:
+        return who, spot
+    use = live[spot]
+    return who[use], spot[use]
+
+
+def _unsettled(profile: DataFrame, roots: DataFrame, bits: int) -> tuple[DataFrame, Bits]:
+    """The profiles that lack settled keys, and the map of hot keys that hold sets of several components."""
+    placed = profile.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for t in batches for part in slices(t, "spots0", 4096)):
+            who, spot = _spots(b, None)
+            root = np.asarray(b.column("root"), np.int64)[who]
+            order = np.argsort(spot)
+            spot, root = spot[order], root[order]
+            new = np.flatnonzero(np.diff(spot, prepend=-1))
+            if len(new):
+                yield pa.RecordBatch.from_pydict({"spot": pa.array(spot[new]), "lo": pa.array(np.minimum.reduceat(root, new)), "hi": pa.array(np.maximum.reduceat(root, new))})
+
+    by = placed.mapInArrow(fold, "spot long, lo long, hi long").groupBy("spot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    live = _bitmap(by.filter("lo <> hi").select("spot"), bits)
+    sent = profile.sparkSession.sparkContext.broadcast(live)
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for t in batches for part in slices(t, "spots0", 4096)):
+            lacks = np.zeros(b.num_rows, bool)
+            for k in ("0", "1"):
+                spots = [np.frombuffer(x.as_py(), np.int32) for x in b.column("spots" + k)]
+                who = np.repeat(np.arange(b.num_rows), [len(x) for x in spots])
+                settled = ~sent.value[np.concatenate([np.zeros(0, np.int32), *spots]).astype(np.int64)]
+                lacks |= np.asarray(b.column("lacks" + k), np.int64) > np.bincount(who[settled], minlength=b.num_rows)
+            yield b.filter(pa.array(lacks))
+
+    return written(profile.mapInArrow(left, profile.schema)), live
+
+
 def _bitmap_of(x: np.ndarray) -> bytes:
     """One bit for each element, in a bitmap of a size that follows the band two above; folded when compared."""
     bits = 64 << max(0, int(len(x) - 1).bit_length() - 5)
@@ -330,9 +443,15 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _mixed(rest: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows (x, fp, n, before) of rest with their root, of those x whose sets aren't all in one component; written."""
-    placed = rest.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _each_head(heads: DataFrame, *more: str) -> DataFrame:
+    """A row for each first element: x, fp, n, before (how many elements of the set come before it)."""
+    return heads.select(F.posexplode("xs").alias("at", "x"), "fp", "n", "lone", *more).select("x", "fp", "n", (F.col("lone") + F.col("at")).alias("before"), *more)
+
+
+def _mixed(heads: DataFrame, roots: DataFrame) -> DataFrame:
+    """The first elements of sets (fp, n, lone, xs) with their root, where not all sets of one are in one component;
+    written. Roots are joined to sets, before there is a row for each element."""
+    placed = _each_head(heads.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "root")
     mixed = placed.groupBy("x").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("x")
     return written(placed.join(mixed, "x", "left_semi"))
 
@@ -393,8 +512,9 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
     """node, root over the sets (by fp) that are linked with others."""
     texts = docs.filter("doc_id is not null and text is not null").select("text")
     spark = docs.sparkSession
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(workers(spark), -(-int(total) * 7 // 10 // 2_000_000))
+    total = int(classes.agg(F.sum("n")).first()[0] or 0)
+    buckets = max(workers(spark), -(-total * 7 // 10 // BUCKET_KEYS))
+    bits = min(MOST_BITS, max(LEAST_BITS, total.bit_length() - 4))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(buckets, hot)
@@ -403,77 +523,36 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
             yield from packer.add(key, who, fp, n)
         yield from packer.flush()
 
-    met = _meet(texts.mapInArrow(index, _BLOCK), buckets, hot)
-    heat = spark.sparkContext.broadcast(_hot_bitmap(met))
+    met = _meet(texts.mapInArrow(index, _BLOCK), buckets, hot, bits)
+    heat = spark.sparkContext.broadcast(_bitmap(met.filter("hot is not null").select("hot"), bits))
     nodes = met.select(F.explode(F.array("a", "b")).alias("fp")).filter("fp is not null").distinct()
-    wanted = np.zeros(1 << HOT_BITS, bool)
-    spot = F.shiftrightunsigned(F.xxhash64("fp"), 64 - HOT_BITS)
-    wanted[np.asarray(nodes.select(spot.alias("x")).distinct().toArrow().column("x"), np.int64)] = True
-    wanted = spark.sparkContext.broadcast(wanted)
+    wanted = spark.sparkContext.broadcast(_bitmap(nodes.select(F.shiftrightunsigned(F.xxhash64("fp"), 64 - bits)), bits))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         def spots(fp: np.ndarray) -> np.ndarray:
-            return np.array([xxhash.xxh64_intdigest(f.tobytes(), 42) >> (64 - HOT_BITS) for f in fp], np.int64)
+            return np.array([xxhash.xxh64_intdigest(f.tobytes(), 42) >> (64 - bits) for f in fp], np.int64)
 
         for at, h, n, fp in _new_sets(batches):
             if not len(n):
                 continue
-            short = short_of(at, h, n, heat.value, buckets, False)
+            short, layouts = heat_of(at, h, n, heat.value, buckets)
             begin = np.cumsum(n) - n
             use = np.flatnonzero(short | wanted.value[spots(fp)])
             x = [h[begin[k] : begin[k] + n[k]] for k in use]
             yield pa.RecordBatch.from_pydict({
                 "fp": pa.array(fp[use], pa.int64()), "n": pa.array(n[use], pa.int64()), "short": pa.array(short[use], pa.bool_()),
                 "elements": pa.array([v.tobytes() for v in x], pa.binary()), "bits": pa.array([_bitmap_of(v) for v in x], pa.binary()),
+                **{f"lacks{s}": pa.array(lacks[use], pa.int64()) for s, (lacks, _) in enumerate(layouts)},
+                **{f"spots{s}": pa.array([spots[k].tobytes() if short[k] else None for k in use], pa.binary()) for s, (_, spots) in enumerate(layouts)},
             })
 
-    sets = written(texts.mapInArrow(gather, "fp long, n long, short boolean, elements binary, bits binary"))
+    sets = written(texts.mapInArrow(gather, "fp long, n long, short boolean, elements binary, bits binary, lacks0 long, lacks1 long, spots0 binary, spots1 binary"))
     small = sets.select("fp", "n", "bits").dropDuplicates(["fp"])
     pairs = met.filter("a is not null").select("a", "b")
 
-    short = sets.filter("short").select("fp", "elements").dropDuplicates(["fp"])
-    if not short.isEmpty():
-        short = written(short)
-
-        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            packer = _Packer(buckets, hot)
-            for b in batches:
-                for i in range(0, b.num_rows, 128):
-                    at, h, n, fp = _unpacked(b.slice(i, 128))
-                    key, who, _, _ = keys(at, h, n, True)
-                    yield from packer.add(key, who, fp, n)
-            yield from packer.flush()
-
-        met2 = _meet(short.mapInArrow(again, _BLOCK), buckets, hot)
-        heat2 = spark.sparkContext.broadcast(_hot_bitmap(met2))
-        pairs = pairs.unionByName(met2.filter("a is not null").select("a", "b"))
-
-        def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(0, b.num_rows, 128):
-                    at, h, n, fp = _unpacked(b.slice(i, 128))
-                    if not len(n):
-                        continue
-                    use = short_of(at, h, n, heat2.value, buckets, True)[at]
-                    yield pa.RecordBatch.from_pydict({"x": pa.array(h[use].view(np.int64), pa.int64()), "fp": pa.array(fp[at[use]], pa.int64()), "n": pa.array(n[at[use]], pa.int64())})
-
-        every = written(short.mapInArrow(firsts, "x long, fp long, n long"))
-        often = every.groupBy("x").agg(F.count("*").alias("d")).filter("d > 1")
-        # what no other of these sets has comes first and leads nowhere: only how many there are matters
-        lone = F.col("n") - F.col("m")
-        shared = every.join(often, "x").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("xs"), F.count("*").alias("m"))
-        take = F.greatest(F.lit(0), F.col("n") - F.expr("(3 * n + 3) div 4") + 1 - lone).cast("int")
-        heads = F.slice(F.transform("xs", lambda s: s["x"]), F.lit(1), take)
-        rest = written(shared.select(F.posexplode(heads).alias("at", "x"), "fp", "n", lone.alias("lone")).select("x", "fp", "n", (F.col("lone") + F.col("at")).alias("before")))
-        low = rest.groupBy("x").agg(F.min("fp").alias("a"), F.count("*").alias("many")).filter("many > 1").select("x", "a")
-        star = rest.join(low, "x").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
-        pairs = pairs.unionByName(star)
-    else:
-        rest = None
-
-    pairs = written(pairs.distinct())
+    profile = sets.filter("short").select("fp", "n", "lacks0", "lacks1", "spots0", "spots1").dropDuplicates(["fp"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Bitmaps first: they are small, and few pairs that they pass aren't linked."""
@@ -482,32 +561,93 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         few = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
         return written(_checked(pairs, sets.select("fp", "n", "elements").join(few, "fp", "left_semi").dropDuplicates(["fp"]), "elements", True))
 
-    # each set with its smallest and largest partner, then what is still apart: most pairs of a group need no look
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    last = pairs.groupBy("a").agg(F.max("b").alias("b")).select("a", "b")
-    first = written(first.unionByName(last).distinct())
-    sure = verified(first)
-    roots = written(components(sure))
-    others = _apart(pairs, roots).join(first, ["a", "b"], "left_anti")
-    sure = sure.unionByName(verified(written(others)))
-    roots = written(components(sure))
-    if rest is not None:
-        # what the smallest under an element did not bring together is compared under each element that is shared
-        placed = _mixed(rest, roots)
-        for turn in range(CENTRE_ROUNDS):
-            # where components still meet in large groups, another centre brings most of them together first
-            if _pairs_left(placed) <= FEW_PAIRS * placed.count():
-                break
-            centre = placed.groupBy("x").agg(F.min_by(F.struct("fp", "root", "n", "before"), F.xxhash64("fp", F.lit(turn))).alias("c")).select("x", "c.*")
-            more = verified(written(_meeting(centre, placed, F.col("p.root") != F.col("q.root"))))
-            if more.isEmpty():
-                break
-            sure = sure.unionByName(more)
-            roots = written(components(sure))
-            placed = _mixed(rest, roots)
-        if not placed.isEmpty():
-            more = verified(written(_meeting(placed, placed, F.col("p.root") < F.col("q.root"))))
-            roots = written(components(sure.unionByName(more)))
+    def joined(pairs: DataFrame, sure: DataFrame | None, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The links so far with those among the pairs that could decide a component, and the components.
+
+        Each set comes with its smallest and largest partner first, then what is still apart: most pairs of a group
+        need no look.
+        """
+        if roots is not None:
+            pairs = written(_apart(pairs, roots))
+        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        last = pairs.groupBy("a").agg(F.max("b").alias("b")).select("a", "b")
+        first = written(first.unionByName(last).distinct())
+        more = verified(first)
+        sure = more if sure is None else sure.unionByName(more)
+        roots = components(sure)
+        others = written(_apart(pairs, roots).join(first, ["a", "b"], "left_anti"))
+        if not others.isEmpty():
+            sure = sure.unionByName(verified(others))
+            roots = components(sure)
+        return sure, roots
+
+    sure, roots = joined(written(pairs.distinct()), None, None)
+    if sets.filter("short").isEmpty():
+        return roots
+    profile, live = _unsettled(written(profile), roots, bits)
+    count = profile.count()
+    for turn in range(TURNS):
+        if not count:
+            return roots
+        sure, roots = joined(written(_stars(profile, live, turn)), sure, roots)
+        profile, live = _unsettled(profile, roots, bits)
+        before, count = count, profile.count()
+        if 5 * count > 4 * before:
+            break
+    if not count:
+        return roots
+
+    short = written(sets.filter("short").select("fp", "elements").join(profile.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(buckets, hot)
+        for b in batches:
+            for part in slices(b, "elements"):
+                at, h, n, fp = _unpacked(part)
+                key, who, _, _ = keys(at, h, n, True)
+                yield from packer.add(key, who, fp, n)
+        yield from packer.flush()
+
+    met2 = _meet(short.mapInArrow(again, _BLOCK), buckets, hot, bits)
+    heat2 = spark.sparkContext.broadcast(_bitmap(met2.filter("hot is not null").select("hot"), bits))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, "elements"):
+                at, h, n, fp = _unpacked(part)
+                if not len(n):
+                    continue
+                use = short_of(at, h, n, heat2.value, buckets, True)[at]
+                yield pa.RecordBatch.from_pydict({"x": pa.array(h[use].view(np.int64), pa.int64()), "fp": pa.array(fp[at[use]], pa.int64()), "n": pa.array(n[at[use]], pa.int64())})
+
+    every = written(short.mapInArrow(firsts, "x long, fp long, n long"))
+    often = every.groupBy("x").agg(F.count("*").alias("d")).filter("d > 1")
+    # what no other of these sets has comes first and leads nowhere: only how many there are matters
+    lone = F.col("n") - F.col("m")
+    shared = every.join(often, "x").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("xs"), F.count("*").alias("m"))
+    take = F.greatest(F.lit(0), F.col("n") - F.expr("(3 * n + 3) div 4") + 1 - lone).cast("int")
+    heads = written(shared.select("fp", "n", lone.alias("lone"), F.slice(F.transform("xs", lambda s: s["x"]), F.lit(1), take).alias("xs")).filter(F.size("xs") > 0))
+    rest = _each_head(heads)
+    low = rest.groupBy("x").agg(F.min("fp").alias("a"), F.count("*").alias("many")).filter("many > 1").select("x", "a")
+    star = rest.join(low, "x").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    pairs = met2.filter("a is not null").select("a", "b").unionByName(star).distinct()
+    sure, roots = joined(written(pairs), sure, roots)
+    # what the smallest under an element did not bring together is compared under each element that is shared
+    placed = _mixed(heads, roots)
+    for turn in range(CENTRE_ROUNDS):
+        # where components still meet in large groups, another centre brings most of them together first
+        if _pairs_left(placed) <= FEW_PAIRS * placed.count():
+            break
+        centre = placed.groupBy("x").agg(F.min_by(F.struct("fp", "root", "n", "before"), F.xxhash64("fp", F.lit(turn))).alias("c")).select("x", "c.*")
+        more = verified(written(_meeting(centre, placed, F.col("p.root") != F.col("q.root"))))
+        if more.isEmpty():
+            break
+        sure = sure.unionByName(more)
+        roots = components(sure)
+        placed = _mixed(heads, roots)
+    if not placed.isEmpty():
+        more = verified(written(_meeting(placed, placed, F.col("p.root") < F.col("q.root"))))
+        roots = components(sure.unionByName(more))
     return roots
 
 

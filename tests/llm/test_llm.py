@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stacksift.llm import jaccard, langid, licenses, lm, mixing, pieces, quality, tokens, topk, toxicity
+from stacksift.llm import jaccard, langid, licenses, lm, mixing, pieces, quality, tokens, topk
 from stacksift.llm.common import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -145,29 +145,6 @@ def test_mixing(spark, empty):
     assert sorted(map(tuple, got.select("doc_id", "epoch").collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7), share=0.5, max_epochs=2, weights={"source": {("even", "en", "src0"): 3.0}}, seed=1).select("doc_id", "epoch").collect()))
 
 
-def test_toxicity(spark, docs):
-    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    index = toxicity.fit(big, labels)
-    # exact: block skipping gives what all examples give
-    texts = [r["text"] for r in big.limit(200).collect()]
-    full = {i: {} for i in range(len(index.ids))}
-    for t, posting in enumerate(index.postings):
-        for b, (at, w) in posting.items():
-            for a, x in zip(at, w, strict=True):
-                full[b * toxicity.BLOCK + int(a)][t] = x
-    for text in texts:
-        v = index.vector(text)
-        if v:
-            q = dict(zip([t for t, _ in v], index.weights(v), strict=True))
-            want = sorted(((-round(sum(q[t] * x for t, x in e.items() if t in q), 12), int(index.ids[i])) for i, e in full.items()))
-            want = [x for x in want if x[0] < 0][:15]
-            assert [(-s, int(index.ids[i])) for s, i in index.nearest(v, 15)] == [(s, i) for s, i in want]
-    got = toxicity.score(docs, index).collect()
-    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
-    assert toxicity.fit(docs, labels.limit(0)).score("x", 5, 0.5)[0] == 0
-
-
 def test_pieces(spark, docs, empty):
     path = tokenizer_path("piece_bpe_32k.model")
     s = pieces.PieceSampler(path)
@@ -215,6 +192,14 @@ def test_quality_limit(spark):
     assert sum(n > 0 for n in got.values()) == 29 + 24
 
 
+def test_quality_without_ids(spark):
+    """Texts without a doc_id count each; one of them keeps the line, copies of it too."""
+    words = lambda i: " ".join(f"w{i}_{k}" for k in range(60))
+    data = [(None, f"Line\n{words(i % 25)}", None) for i in range(50)] + [(1, "Other\n" + words(90), None)]
+    got = [r["n_removed"] for r in quality.quality_rules(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()]
+    assert sorted(got) == [0] * 3 + [1] * 48
+
+
 def test_quality_cleaned(spark):
     """Removed lines are gone from the texts, wherever they stand, and all else stays as it was."""
     words = lambda i: " ".join(f"w{i}_{k}" for k in range(60))
@@ -276,10 +261,3 @@ def test_language_model(docs, empty):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (*want[r["doc_id"]][:2], total)
         assert abs(r["base_score"] - want[r["doc_id"]][2]) < 1e-6 * abs(want[r["doc_id"]][2]) and r["score"] < 0
     assert lm.score(empty).count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 0 and out.columns == ["doc_id", "ids"]

@@ -10,10 +10,12 @@ endian unsigned integers of 2 bytes (4, if the vocabulary needs them), compresse
 trained on serialised id arrays. Readers refuse a dictionary with another hash.
 
 Blocks are written by Spark's own writer as binary values, one row each, so any store that Spark writes to will
-do and a lost executor's block is written again.
+do and a lost executor's block is written again. The dictionary lies beside them with its hash, so a folder is all that
+a later session needs.
 
-Defined cases: a null text is an empty one (its ids are the end id alone); rows that repeat a doc_id are ordered
-by their text; null doc_ids come first; an empty table gives no blocks; other columns are not read.
+Defined cases: a null text is an empty one (its ids are the end id alone); strings of special tokens in a text are
+ordinary text, unless `special_as_text` is False; rows that repeat a doc_id are ordered by a hash of their text; null
+doc_ids come first; an empty table gives no blocks; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,47 +30,82 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import workers, written
+from .common import shared_dir, slices, workers, written
 
 MAGIC = b"TOKB"
 HEAD = struct.Struct("<4sHHI32sI")
-#: White space beside white space: such texts are encoded whole.
-DOUBLE = re.compile(r"\s\s")
-#: A run of Latin letters before punctuation or the end is a unit of its own; else all up to the next white space.
-UNIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^.,;:!?\s])| ?\S++|\s")
+#: A run of Latin letters that no other letter follows is a unit of its own; else all up to the next white space.
+UNIT = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\W\d_])| ?\S++|\s")
+LETTERS = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Line ends that the pre-tokenizer takes together.
+LINES = re.compile(r"\n\n(?:\s|\Z)")
+#: Units of letters that the library is given as one text.
+JOINED = 4_000
 
 
 class Encoder:
     """Whole texts to ids with a byte-level BPE file of the tokenizers library.
 
-    The pre-tokenizer always cuts before a single space (or around another single white space) between other
-    characters, and between letters and punctuation, so the ids of a text are those of such units in turn; a unit is given to the library once and kept
-    in a table of at most `keep` entries. Texts with doubled white space go to the library whole.
+    The pre-tokenizer always cuts before a single space, around single line ends and after a run of letters, so
+    the ids of a text are those of its units in turn. A unit is given to the library once and kept in a table of about
+    `keep` entries; units of a space and letters are given as one text, whose tokens' lengths tell them apart. Texts with
+    other white space, or more of it in a run, or with special tokens that count as such, go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_000_000, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        # a character of a byte-level token is a byte
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size[list(vocabulary.values())] = [len(k) for k in vocabulary]
         self.keep, self.known = keep, {}
 
     def __call__(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         tail = b"" if end is None else np.array([end], self.kind).tobytes()
-        whole = [i for i, t in enumerate(texts) if t and DOUBLE.search(t)]
-        of_whole = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True))
-        units = [UNIT.findall(t) if t and i not in of_whole else () for i, t in enumerate(texts)]
         if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        new = [u for u in set().union(*units) if u not in known]
-        known.update(zip(new, self._library(new), strict=True))
-        get = known.__getitem__
-        return [(of_whole[i] if i in of_whole else b"".join(map(get, u))) + tail for i, u in enumerate(units)]
+            self.known = {}
+        units = [UNIT.findall(t) if t else [] for t in texts]
+        new = set().union(*units).difference(self.known)
+        letters = [u for u in new if LETTERS.fullmatch(u)]
+        self.known.update(zip(letters, self._of_letters(letters), strict=True))
+        others = list(new.difference(letters))
+        self.known.update(zip(others, self._library(others), strict=True))
+        # a unit of white space, but for a line end, means a run of it
+        self.known.update((u, None) for u in others if u.isspace() and u != "\n")
+        out, whole, get = [], [], self.known.__getitem__
+        for i, (t, u) in enumerate(zip(texts, units, strict=True)):
+            try:
+                out.append(b"".join(map(get, u)))
+            except TypeError:  # one of them is None
+                out.append(b"")
+                whole.append(i)
+                continue
+            if t and ("\n\n" in t and LINES.search(t) or any(x in t for x in self.special)):
+                whole.append(i)
+        for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            out[i] = x
+        return [x + tail for x in out]
+
+    def _of_letters(self, units: list[str]) -> list[bytes]:
+        parts = [units[i : i + JOINED] for i in range(0, len(units), JOINED)]
+        out: list[bytes] = []
+        for part, raw in zip(parts, self._library(["".join(p) for p in parts]), strict=True):
+            ends = np.cumsum(self.size[np.frombuffer(raw, self.kind)])
+            wanted = np.cumsum([len(u.encode()) for u in part])
+            at = np.searchsorted(ends, wanted)
+            if at[-1] + 1 != len(ends) or (ends[at] != wanted).any():
+                raise ValueError("the pre-tokenizer doesn't cut before a space")
+            cuts = ((at + 1) * int(self.kind[2:])).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -138,7 +175,7 @@ def train_dictionary(docs: DataFrame, path: str, end: int = 0, windows: int = 2_
         rows = rows.filter(F.col("h") < int(-(2**63) + 2**64 * windows / n))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for t in batches for part in slices(t)):
             ids, hashes = encoder(path)(b.column("text").to_pylist(), end), b.column("h").to_pylist()
             out = [(zlib.crc32(f"{h}:{i}".encode()), x[i : i + 2 * window]) for h, x in zip(hashes, ids, strict=True) for i in range(0, len(x), 2 * window)]
             yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in out], pa.int64()), "x": pa.array([x for _, x in out], pa.binary())})
@@ -153,11 +190,12 @@ def train_dictionary(docs: DataFrame, path: str, end: int = 0, windows: int = 2_
         return b""
 
 
-def write_blocks(docs: DataFrame, path: str, dictionary: bytes, end: int = 0, block_bytes: int = 1 << 20) -> DataFrame:
-    """Encode every row and write blocks in ascending doc_id order.
+def write_blocks(docs: DataFrame, path: str, dictionary: bytes, end: int = 0, block_bytes: int = 1 << 20, folder: str | None = None) -> DataFrame:
+    """Encode every row and write blocks in ascending doc_id order, with the dictionary if a folder is named.
 
-    Returns what was written, read again: shard (of the range of ids), block (in the shard), doc_ids, n_tokens (of
-    the block), data. A third range key spreads rows that repeat a document, so no id fills a task.
+    Returns what was written, read again: shard (of the range of ids), block (in the shard), doc_ids, inside (ids of the
+    shard's blocks before), n_tokens (of the block), data. A third range key spreads rows that repeat a document, so no
+    id fills a task.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("h", F.xxhash64("text")).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
@@ -169,40 +207,51 @@ def write_blocks(docs: DataFrame, path: str, dictionary: bytes, end: int = 0, bl
         width = int(run.kind[2:])
         ids: list[int | None] = []
         held: list[bytes] = []
-        size, block, shard = 0, 0, 0
+        size, block, shard, inside = 0, 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([ids], pa.list_(pa.int64())),
-                "n_tokens": pa.array([sum(map(len, held)) // width], pa.int64()), "data": pa.array([pack(held, width, dictionary)], pa.binary()),
+                "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "inside": pa.array([inside], pa.int64()),
+                "n_tokens": pa.array([size // width], pa.int64()), "data": pa.array([pack(held, width, dictionary)], pa.binary()),
             })
 
         for b in batches:
-            shard = b.column("shard")[0].as_py() if b.num_rows else shard
-            texts, keys = b.column("text"), b.column("doc_id").to_pylist()
-            for at in range(0, len(keys), 256):
-                for key, x in zip(keys[at : at + 256], run(texts.slice(at, 256).to_pylist(), end), strict=True):
+            for part in slices(b):
+                shard = part.column("shard")[0].as_py()
+                for key, x in zip(part.column("doc_id").to_pylist(), run(part.column("text").to_pylist(), end), strict=True):
                     ids.append(key)
                     held.append(x)
                     size += len(x)
                     if size >= block_bytes:
                         yield flush()
-                        ids, held, size, block = [], [], 0, block + 1
+                        ids, held, size, block, inside = [], [], 0, block + 1, inside + size // width
         if ids:
             yield flush()
 
-    return written(ranged.mapInArrow(write, "shard int, block int, doc_ids array<long>, n_tokens long, data binary"))
+    blocks = ranged.mapInArrow(write, "shard int, block int, doc_ids array<long>, inside long, n_tokens long, data binary")
+    if not folder:
+        return written(blocks)
+    spark = docs.sparkSession
+    spark.createDataFrame([(dictionary_hash(dictionary), dictionary)], "sha256 binary, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
+    blocks.write.parquet(f"{folder}/blocks")
+    return open_blocks(spark, folder)[0]
+
+
+def open_blocks(spark: SparkSession, folder: str) -> tuple[DataFrame, bytes]:
+    """The blocks and the dictionary of a folder that write_blocks filled."""
+    row = spark.read.parquet(f"{folder}/dictionary").first()
+    dictionary = bytes(row["dictionary"])
+    if dictionary_hash(dictionary) != bytes(row["sha256"]):
+        raise ValueError("the dictionary isn't the one that was written")
+    return spark.read.schema("shard int, block int, doc_ids array<long>, inside long, n_tokens long, data binary").parquet(f"{folder}/blocks"), dictionary
 
 
 def with_starts(blocks: DataFrame) -> DataFrame:
-    """blocks with `start`: the ids of all blocks before. Shards are summed first; the second window is over one row
-    for each shard, of which there are as many as shuffle partitions."""
-    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    """blocks with `start`: the ids of all blocks before. Only shards are summed, of which there are as many as shuffle
+    partitions; data stays where it is."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    at = blocks.select("shard", "block", "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    at = at.join(shards, "shard").select("shard", "block", (F.col("base") + F.col("inside")).alias("start"))
-    return blocks.join(at, ["shard", "block"])
+    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select(F.col("shard").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return blocks.join(F.broadcast(shards), F.col("shard") == F.col("of")).withColumn("start", F.col("base") + F.col("inside")).drop("of", "base")
 
 
 def read_blocks(blocks: DataFrame, dictionary: bytes) -> DataFrame:
@@ -237,6 +286,7 @@ def lookup(blocks: DataFrame, dictionary: bytes, doc_ids: list[int]) -> DataFram
 
 
 def token_files(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
-    """Write all rows of docs as blocks with one dictionary, read them back and digest them."""
-    dictionary = train_dictionary(docs, path, end)
-    return read_blocks(write_blocks(docs, path, dictionary, end), dictionary)
+    """Write all rows of docs as blocks with one dictionary, read them back from their folder and digest them."""
+    folder = shared_dir(docs.sparkSession)
+    write_blocks(docs, path, train_dictionary(docs, path, end), end, folder=folder)
+    return read_blocks(*open_blocks(docs.sparkSession, folder))

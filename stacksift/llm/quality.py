@@ -6,7 +6,7 @@ smallest doc_id that has it: both functions give the texts without these lines.
 
 Defined cases: a null text has no words and fails the base rule; a null source is a host of its own; rows that
 repeat a doc_id are judged one by one, but count as one document of a line; without a doc_id, each different text
-counts, and a line that no document with a doc_id has stays in all; columns beyond those named are ignored by `quality_rules` and kept by
+counts, and a line that no document with a doc_id has stays in the text with the smallest hash; columns beyond those named are ignored by `quality_rules` and kept by
 `kept_documents`; an empty table gives an empty result.
 """
 
@@ -85,11 +85,13 @@ def shared_lines(docs: DataFrame, min_docs: int = 20) -> DataFrame:
     lines = row.select("doc_id", "source", "cid", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.col("line").rlike(f"[^{SPACE}]")).select(
         "doc_id", "source", "cid", "at", F.xxhash64(norm, F.length(norm)).alias("h"), F.regexp_count("line", F.lit(f"[^{SPACE}]+")).alias("n")
     )
+    lines = written(lines)  # slim, and read twice
     nameless = F.when(F.col("doc_id").isNull(), F.col("cid"))
     per_doc = lines.groupBy("source", "h", "doc_id", nameless.alias("nameless")).agg(F.count("*"))
-    over = per_doc.groupBy("source", "h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") > min_docs)
-    over = over.select(F.col("source").alias("o_source"), F.col("h").alias("o_h"), "first")
-    hit = lines.join(over, lines.source.eqNullSafe(over.o_source) & (lines.h == over.o_h)).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    over = per_doc.groupBy("source", "h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.min("nameless").alias("first_text")).filter(F.col("docs") > min_docs)
+    over = over.select(F.col("source").alias("o_source"), F.col("h").alias("o_h"), "first", "first_text")
+    hit = lines.join(over, lines.source.eqNullSafe(over.o_source) & (lines.h == over.o_h))
+    hit = hit.filter(~F.col("doc_id").eqNullSafe(F.col("first")) | (F.col("doc_id").isNull() & (F.col("cid") != F.col("first_text"))))
     # a set, as rows may be repeated whole
     got = hit.groupBy("doc_id", "source", "cid").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("x"))
     return got.select("doc_id", "source", "cid", F.transform("x", lambda x: x["at"]).alias("gone"), F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("removed"))

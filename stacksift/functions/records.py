@@ -194,3 +194,52 @@ def share_inside(a: Column, b: Column) -> Column:
 def union_box(a: Column, b: Column) -> Column:
     x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
     return F.struct(x.alias("x"), y.alias("y"), (F.greatest(_right(a), _right(b)) - x).alias("w"), (F.greatest(_bottom(a), _bottom(b)) - y).alias("h"))
+
+
+def case_title(title: Column, reporter: Column, court: Column) -> Column:
+    """A case's name with its reporter, else its court, in brackets; Untitled without a name."""
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    where = F.coalesce(given(reporter), given(court))
+    return F.when(given(title).isNull(), "Untitled").when(where.isNull(), title).otherwise(F.concat(title, F.lit(" ("), where, F.lit(")")))
+
+
+def display_date(fields: Column, own: Column) -> Column:
+    """The value of the type's own date field (its name in `own`), else that of `date`, else ''."""
+    return F.coalesce(F.nullif(fields[own], F.lit("")), F.nullif(fields["date"], F.lit("")), F.lit(""))
+
+
+def short_id(uri: Column) -> Column:
+    """What follows the last slash."""
+    return F.substring_index(uri, "/", -1)
+
+
+def title_query(title: Column) -> Column:
+    """A title as words to search for: markup and punctuation go, white space is one blank."""
+    from .identifiers import unescape
+
+    bare = unescape(F.regexp_replace(F.coalesce(title, F.lit("")), r"<(/|\p{Alpha})[^<>]*>", " "))
+    return F.trim(F.regexp_replace(bare, r"[\p{P}\p{S}\s]+", " "))
+
+
+def surnames(creators: Column) -> Column:
+    """Folded last names, each once."""
+    from .fold import fold
+
+    return F.array_distinct(F.filter(F.transform(creators, lambda c: F.trim(fold(c["lastName"]))), lambda n: n != ""))
+
+
+def names_all_of(creators: Column, others: Column) -> Column:
+    """Whether the first list names everyone that the second names, and the second names someone."""
+    theirs = surnames(others)
+    return (F.size(theirs) > 0) & (F.size(F.array_except(theirs, surnames(creators))) == 0)
+
+
+def filled(record: dict[str, Column], page: dict[str, Column]) -> dict[str, Column]:
+    """The record's fields, blank ones from the page; the page's creators if the record has none, or if the page names
+    all of the record's and more."""
+    out = {k: F.coalesce(F.nullif(F.trim(c), F.lit("")), page[k]) if k in page else c for k, c in record.items() if k != "creators"}
+    if "creators" in record:
+        mine, theirs = record["creators"], page.get("creators", record["creators"])
+        more = names_all_of(theirs, mine) & (F.size(theirs) > F.size(mine))
+        out["creators"] = F.when((F.size(F.coalesce(mine, F.array())) == 0) | more, theirs).otherwise(mine)
+    return out

@@ -94,3 +94,10 @@ def search_collections(library, query: str, trashed: bool = False) -> DataFrame:
     for word in query.lower().split():
         test = test & F.lower("name").contains(word)
     return nodes.filter(test).orderBy("name", "key")
+
+
+def keys_of_names(library, names: list[str]) -> DataFrame:
+    """name (as it was asked for) and the key of every live collection of that name, whatever the case."""
+    asked = library.spark.createDataFrame([(n, n.strip().lower()) for n in dict.fromkeys(names)], "name string, _low string")
+    nodes = collection_nodes(library).filter("not deleted").select("key", F.lower(F.trim("name")).alias("_low"))
+    return asked.join(nodes, "_low").select("name", "key")

@@ -277,3 +277,10 @@ def connector(library: Library, query: str, semantic=None, limit: int = 10) -> D
     if found is None or found.isEmpty():
         found = keyword(library, query, "everything", limit=limit)
     return found.select(F.col("key").alias("id"), "title", "url").limit(limit)
+
+
+def merged(pages: list[DataFrame], key: str = "key") -> DataFrame:
+    """Rows of several pages, once a key: the first page that has it wins."""
+    every = reduce(DataFrame.unionByName, [p.withColumn("_page", F.lit(i)) for i, p in enumerate(pages)])
+    best = every.groupBy(key).agg(F.min("_page").alias("_first")).withColumnRenamed(key, "_key")
+    return every.join(best, (F.col(key) == F.col("_key")) & (F.col("_page") == F.col("_first"))).drop("_key", "_first", "_page").dropDuplicates([key])

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from library_fixture import key, library
-from stacksift.functions import inputs
-from stacksift.operators import dedupe, fulltext, maintenance, search, sync
+from stacksift.functions import inputs, records
+from stacksift.operators import dedupe, fulltext, hierarchy, maintenance, search, sync
 
 
 def test_inputs():
@@ -85,3 +85,20 @@ def test_update_run(spark):
         sync.update(first.index.withColumn("group_id", F.lit(9).cast("long")), items, 0, prepare, force=True)
     marks = sync.save_watermarks(spark, {0: 5, 77: 2})
     assert sync.load_watermarks(spark, marks) == {0: 5, 77: 2} and sync.load_watermarks(spark, None, 3) == {0: 3} and sync.load_watermarks(spark, marks, 3) == {0: 5, 77: 2}
+
+
+def test_records_of_cases_and_pages(spark):
+    row = spark.createDataFrame([("A v. B", "", "High Court", {"issueDate": "2020", "date": ""}, "https://x.org/W12", "<i>On</i> A/B: tests &amp; more", [("Ann", "Léa")], [("", "Lea"), ("", "Roe")], " ", "2021")],
+                                "t string, r string, c string, f map<string,string>, u string, q string, m array<struct<firstName:string,lastName:string>>, p array<struct<firstName:string,lastName:string>>, d string, pd string")
+    c = {k: F.col(k) for k in row.columns}
+    got = records.filled({"date": c["d"], "creators": c["m"]}, {"date": c["pd"], "creators": c["p"]})
+    r = row.select(records.case_title(c["t"], c["r"], c["c"]).alias("case"), records.display_date(c["f"], F.lit("issueDate")).alias("date"), records.short_id(c["u"]).alias("id"), records.title_query(c["q"]).alias("query"),
+                   records.names_all_of(c["p"], c["m"]).alias("all"), records.names_all_of(c["m"], c["p"]).alias("not_all"), got["date"].alias("filled"), F.size(got["creators"]).alias("n")).first()
+    assert tuple(r) == ("A v. B (High Court)", "2020", "W12", "On A B tests more", True, False, "2021", 2)
+
+
+def test_names_and_pages(spark):
+    lib = library(spark)
+    assert sorted(map(tuple, hierarchy.keys_of_names(lib, ["top", "SUB ", "none"]).collect())) == [("SUB ", "COLLSUB1"), ("top", "COLLTOP1")]
+    make = lambda rows: spark.createDataFrame(rows, "key string, x int")
+    assert sorted(map(tuple, search.merged([make([("a", 1), ("b", 1)]), make([("b", 2), ("c", 2), ("c", 2)])]).collect())) == [("a", 1), ("b", 1), ("c", 2)]

@@ -18,12 +18,25 @@ SPACE = r"\x20\x09-\x0D"
 WORD = re.compile(f"[^{SPACE}]+")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; a batch is held several times over on either side.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, as texts may be long; a smaller bound stays."""
+    now = spark.conf.get(BATCH_KEY, None)
+    if now is None or not now.rstrip("bB").isdecimal() or int(now.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir; only a local session without that setting gets a temporary one."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):

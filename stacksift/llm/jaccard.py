@@ -56,7 +56,7 @@ HOT = 24
 LEAST_BITS, MOST_BITS = 20, 28
 WINDOW_KEYS = 500_000
 #: Keys of a bucket, about.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 500_000
 #: Turns in which short sets are compared with one set under each of STARS hot keys; they end early if they settle few.
 TURNS, STARS = 4, 2
 #: Parts into which the sets under a key are dealt for that.

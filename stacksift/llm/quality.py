@@ -140,6 +140,7 @@ def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float
 
 def kept_documents(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat: float = MAX_REPEAT, min_docs: int = 20, depleted: float = 0.7) -> DataFrame:
     """The rows of docs that quality_rules keeps, with their columns and their texts without removed lines."""
-    # written first: a filter that is pushed down would repeat the counts' expressions many times over
-    out = written(_judged(docs, min_words, max_repeat, min_docs, depleted)).filter("kept")
-    return out.select(*(F.col("cleaned").alias(k) if k == "text" else F.col("row")[k].alias(k) for k in docs.columns))
+    # written first: a filter that is pushed down would repeat the counts' expressions many times over; one text a row
+    out = _judged(docs, min_words, max_repeat, min_docs, depleted)
+    row = F.struct(*(F.col("cleaned").alias(k) if k == "text" else F.col("row")[k].alias(k) for k in docs.columns))
+    return written(out.select("kept", row.alias("row"))).filter("kept").select("row.*")

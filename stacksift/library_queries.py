@@ -16,7 +16,10 @@ from .operators import dedupe, hierarchy, maintenance, reports, search
 from .plans.conditions import Condition
 from .queries import _FOLD, _t, query
 
-NOTE, FILE, MARK = 10_000_000, 20_000_000, 30_000_000
+#: Where the ids of each kind of child begin; parents and kinds stay apart however many rows there are.
+NOTE, FILE, MARK = 1 << 60, 1 << 61, 3 << 60
+#: A note's number is conv_id * 1000 + turn, as in SQL; long conversations share numbers, so ids leave room behind them.
+ROOM = 1 << 16
 TYPES = {1: "journalArticle", 2: "book", 3: "attachment", 4: "note", 5: "annotation", 6: "case", 7: "preprint"}
 FIELDS = {1: "title", 2: "date", 3: "abstractNote", 4: "DOI", 5: "caseName", 6: "extra"}
 
@@ -28,13 +31,14 @@ def snapshot(spark: SparkSession, sf_dir: str, group_id: int | None = None) -> L
     pages = _t(spark, sf_dir, "pages")
     marks = _t(spark, sf_dir, "benchmark")
     labels = _t(spark, sf_dir, "labels")
-    notes = turns.select((F.lit(NOTE) + F.col("conv_id") * 1000 + F.col("turn")).alias("itemID"), F.col("conv_id").alias("parentItemID"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("note"))
-    files = pages.select((F.lit(FILE) + F.col("page_id")).alias("itemID"), F.col("page_id").alias("parentItemID"), F.lit(0).alias("linkMode"), e("case page_id % 3 when 0 then 'application/pdf' when 1 then 'text/html' end").alias("contentType"), F.concat(F.lit("storage:p"), "page_id").alias("path"))
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    notes = turns.select((F.lit(NOTE) + number * ROOM + F.floor(F.col("turn") / 1000)).alias("itemID"), number.alias("number"), F.col("conv_id").alias("parentItemID"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("note"))
+    files = pages.select((F.lit(FILE) + F.col("page_id")).alias("itemID"), F.col("page_id").alias("number"), F.col("page_id").alias("parentItemID"), F.lit(0).alias("linkMode"), e("case page_id % 3 when 0 then 'application/pdf' when 1 then 'text/html' end").alias("contentType"), F.concat(F.lit("storage:p"), "page_id").alias("path"))
     remarks = marks.select(
-        (F.lit(MARK) + F.col("item_id")).alias("itemID"), (F.lit(FILE) + F.col("item_id")).alias("parentItemID"), F.lit(1).alias("type"), "text", F.lit("").alias("comment"), F.lit("#ffd400").alias("color"),
+        (F.lit(MARK) + F.col("item_id")).alias("itemID"), F.col("item_id").alias("number"), (F.lit(FILE) + F.col("item_id")).alias("parentItemID"), F.lit(1).alias("type"), "text", F.lit("").alias("comment"), F.lit("#ffd400").alias("color"),
         F.lit("1").alias("pageLabel"), F.lit("00001").alias("sortIndex"), F.lit('{"pageIndex": 0}').alias("position"),
     )
-    child = lambda rows, letter, kind: rows.select("itemID", F.concat(F.lit(letter), F.lpad((F.col("itemID") % 10_000_000).cast("string"), 7, "0")).alias("key"), F.lit(kind).alias("itemTypeID"), F.lit(1).cast("long").alias("libraryID"), F.lit("2023-01-01").alias("dateAdded"), F.lit("2023-01-01").alias("dateModified"))
+    child = lambda rows, letter, kind: rows.select("itemID", F.concat(F.lit(letter), F.lpad(F.col("number").cast("string"), 7, "0")).alias("key"), F.lit(kind).alias("itemTypeID"), F.lit(1).cast("long").alias("libraryID"), F.lit("2023-01-01").alias("dateAdded"), F.lit("2023-01-01").alias("dateModified"))
     items = docs.select(
         F.col("doc_id").alias("itemID"), F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("key"), e("case lang when 'en' then 1 when 'fr' then 2 when 'de' then 7 else 6 end").alias("itemTypeID"),
         e("cast(case doc_id % 10 when 0 then 2 when 5 then 3 else 1 end as long)").alias("libraryID"),
@@ -64,7 +68,7 @@ def snapshot(spark: SparkSession, sf_dir: str, group_id: int | None = None) -> L
             nations.select((F.lit(2000) + F.col("n_nationkey")).cast("long").alias("collectionID"), F.col("n_name").alias("collectionName"), (F.lit(1000) + F.col("n_regionkey")).cast("long").alias("parentCollectionID"), F.lit(1).cast("long").alias("libraryID"), F.concat(F.lit("NATION"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("key"))
         ),
         "collectionItems": docs.filter("doc_id % 4 <> 3").select((F.lit(2000) + F.col("doc_id") % 25).alias("collectionID"), F.col("doc_id").alias("itemID")).unionByName(docs.filter("doc_id % 4 = 0").select((F.lit(1000) + F.col("doc_id") % 5).alias("collectionID"), F.col("doc_id").alias("itemID"))),
-        "itemNotes": notes, "itemAttachments": files, "itemAnnotations": remarks, "deletedItems": said.filter("toxic = 1").select(F.col("doc_id").alias("itemID")),
+        "itemNotes": notes.drop("number"), "itemAttachments": files.drop("number"), "itemAnnotations": remarks.drop("number"), "deletedItems": said.filter("toxic = 1").select(F.col("doc_id").alias("itemID")),
         "itemRelations": docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("itemID"), F.lit(1).cast("long").alias("predicateID"), e("concat('x/users/0/items/D', lpad(cast(doc_id + 1 as string), 7, '0'))").alias("object")),
         "feeds": make([(3, "News", "", "")], "libraryID long, name string, url string, lastCheck string"), "feedItems": docs.filter("doc_id % 10 = 5").select(F.col("doc_id").alias("itemID"), F.lit(None).cast("string").alias("readTime"), F.lit(None).cast("string").alias("translatedTime")),
     }

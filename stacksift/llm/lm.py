@@ -236,14 +236,15 @@ def initial(bits: int, of_leaf: np.ndarray, first: np.ndarray, second: np.ndarra
     out = []
     for table, base in ((first, bias[None, :]), (second, np.repeat(member_bias, len(second) // CLASSES, axis=0))):
         total = table.sum(axis=1, keepdims=True)
-        out.append((share * (np.log((table + shrink * np.exp(base)) / (total + shrink)) - base)).astype(np.float32))
+        # rows lie together in memory: take would copy the whole table otherwise, each time
+        out.append((share * (np.log((table + shrink * np.exp(base)) / (total + shrink)) - base)).astype(np.float32, order="C"))
     return Model(bits, *out, bias.astype(np.float32), member_bias.astype(np.float32))
 
 
 def moved(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, rate: float = 0.2, steady: float = 2.0) -> np.ndarray:
     """weights after one update: the gradient relative to what was expected, at most 1 either way, times the rate."""
     e = expected / ONE
-    return weights + (rate * np.clip((seen - e) / (e + steady), -1, 1)).astype(np.float32)
+    return weights + (rate * np.clip((seen - e) / (e + steady), -1, 1)).astype(np.float32, order="C")
 
 
 def summed(docs: DataFrame, bits: int, leaves: Leaves, model: Model | None) -> tuple[np.ndarray, np.ndarray]:

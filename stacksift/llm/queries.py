@@ -54,7 +54,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents"), lm.ROUNDS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -146,3 +146,24 @@ def test_lookup_is_exact():
     look = lm.Lookup(h[:895], True)
     assert (look(h)[:895] == np.arange(895)).all() and (look(h)[895:] == -1).all()
     assert (lm.Lookup(h[:0], True)(h) == -1).all()
+
+
+def test_more_updates_learn_more_and_weights_lie_row_by_row(spark, docs, monkeypatch):
+    """Columns in a row's place would have every look-up copy its whole table. The query makes ROUNDS updates."""
+    texts = [r["text"] for r in docs.filter("doc_id < 60").collect()]
+    h, end, n = lm.tokens_of(texts)
+    use, c = np.unique(h[~end], return_counts=True)
+    leaves = lm.Leaves(use[lm.most_frequent(use, c)])
+    leaf = np.where(end, 0, leaves(h)[0])
+    of_leaf = np.bincount(leaf, minlength=lm.CLASSES * lm.MEMBERS)
+    models = [lm.train(docs.filter("doc_id < 60"), leaves, of_leaf, k) for k in (0, 1, lm.ROUNDS)]
+    for m in models:
+        assert m.first.flags.c_contiguous and m.second.flags.c_contiguous
+    likely = [m.log_score(lm.features(h, n), leaf).sum() for m in models]
+    assert lm.ROUNDS > 1 and likely[0] < likely[1] < likely[2]
+    asked = []
+    monkeypatch.setattr(lm, "train", lambda docs, leaves, of_leaf, rounds: asked.append(rounds) or models[0])
+    from stacksift.llm.queries import op10_lm_scores
+
+    op10_lm_scores(spark, "/root/testdata/sf0.001")
+    assert asked == [lm.ROUNDS]

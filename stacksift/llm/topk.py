@@ -162,8 +162,9 @@ def build_index(vectors: DataFrame, chunk: int = 8192) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int = 5, block: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best vectors of the index, its own id left out."""
     asked = queries.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("v")).dropDuplicates()
-    buckets = workers(index.sparkSession)
-    blocks = _packed(asked, block, False).select("dim", F.col("data").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("g"))
+    # no more copies of the queries than there are chunks to meet, and never a broadcast: its planned size leaves the copies out
+    buckets = max(1, min(workers(index.sparkSession), index.select("dim").count()))
+    blocks = _packed(asked, block, False).select("dim", F.col("data").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("g")).hint("merge")
     chunks = index.select("dim", "data", F.pmod(F.xxhash64("data"), F.lit(buckets)).cast("int").alias("g"))
     both = chunks.join(blocks, ["dim", "g"]).select("data", "asked")
 

@@ -52,10 +52,12 @@ ROUNDS = 3
 MIN_BITS, MAX_BITS = 12, 18
 #: Shares of a gradient are whole numbers of this size.
 ONE = 1 << 12
+#: A share plus this is rounded to a whole number, which the low bits of the sum then are; and the bits of two of these.
+WHOLE, WHOLE_BITS = np.float32(1 << 23), np.full(2, 1 << 23, "<f4").view("<u8")[0]
 #: Tokens whose softmax is computed at once.
 CHUNK = 1 << 11
-#: Tokens whose shares are summed at once.
-SUMMED = 1 << 16
+#: Tokens whose shares are summed at once; four features of each may meet in one row, where a sum has 32 bits.
+SUMMED = 1 << 17
 BLOCKS = 64
 WINDOW = 1_500_000
 #: Characters of the documents that one task sums gradients over, about.
@@ -175,7 +177,7 @@ def sums_of(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> tu
         x += weights.take(r, axis=0, out=more, mode="clip")
     x += bias
     e = np.exp(x, out=more)
-    return x, e, e.sum(axis=1)  # row by row, so a row's sum doesn't depend on its neighbours
+    return x, e, np.einsum('ij->i', e)  # row by row, so a row's sum doesn't depend on its neighbours
 
 
 @dataclass
@@ -207,19 +209,22 @@ class Model:
         one, two = rows_of(f, cls, self.bits)
         for k in range(0, len(leaf), SUMMED):
             s = slice(k, k + SUMMED)
-            for table, weights, rows, bias in ((first, self.first, one, self.bias), (second, self.second, two, self.member_bias[cls[s]])):
-                here = [r[s] for r in rows]
-                # whole numbers, whose sums are exact in a double
-                parts = np.empty((len(table), len(here[0])))
+            for table, weights, rows, bias in ((first, self.first, one, self.bias), (second, self.second, two, self.member_bias)):
+                here = [r[s].astype(np.intp) for r in rows]
+                # two shares lie in one whole number of 64 bits, so one addition serves both
+                parts = np.empty((len(table) // 2, len(here[0])), "<u8")
                 for i in range(0, len(here[0]), CHUNK):
                     c = slice(i, i + CHUNK)
-                    _, e, total = sums_of(weights, [r[c] for r in here], bias if bias.ndim == 1 else bias[c])
+                    _, e, total = sums_of(weights, [r[c] for r in here], bias if bias.ndim == 1 else bias.take(cls[s][c], axis=0))
                     e *= (np.float32(ONE) / total)[:, None]
-                    parts[:, c] = np.rint(e, out=e).T
-                for r in here:
-                    r = r.astype(np.int64)
-                    for row, x in zip(table, parts, strict=True):
-                        row += np.bincount(r, x, len(row))
+                    e += WHOLE
+                    np.subtract(e.view("<u8").T, WHOLE_BITS, out=parts[:, c])
+                pairs = np.zeros((len(parts), table.shape[1]), "<u8")
+                for row, x in zip(pairs, parts, strict=True):
+                    for r in here:
+                        np.add.at(row, r, x)
+                table[0::2] += pairs & np.uint64(0xFFFFFFFF)
+                table[1::2] += pairs >> np.uint64(32)
 
 
 def observe(f: list[np.ndarray], leaf: np.ndarray, bits: int, first: np.ndarray, second: np.ndarray) -> None:
@@ -248,9 +253,9 @@ def moved(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, rate: flo
     return weights + (rate * np.clip((seen - e) / (e + steady), -1, 1)).astype(np.float32, order="C")
 
 
-def summed(docs: DataFrame, bits: int, leaves: Leaves, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+def summed(docs: DataFrame, chars: int, bits: int, leaves: Leaves, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
     """Over all rows of docs: the observed counts of both tables, or what the model expects in units of 1 / ONE, with a
-    row for each feature's row.
+    row for each feature's row. chars: how many characters docs have, about.
 
     Tasks send blocks of their tables; a block is added up in one place, whose number doesn't grow with the input.
     """
@@ -286,8 +291,7 @@ def summed(docs: DataFrame, bits: int, leaves: Leaves, model: Model | None) -> t
                 sums[block] = sums[block] + x if block in sums else x
         yield pa.RecordBatch.from_pydict({"block": pa.array(list(sums), pa.int32()), "x": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    few = docs.select("text").coalesce(max(spark.sparkContext.defaultParallelism, int(chars) // TASK_CHARS))
+    few = docs.select("text").coalesce(max(spark.sparkContext.defaultParallelism, chars // TASK_CHARS))
     got = few.mapInArrow(run, "block int, width int, x binary").repartition(min(2 * BLOCKS, workers(spark)), "block").mapInArrow(add, "block int, x binary")
     out = [np.zeros(s, np.int64) for s in shape]
     for r in got.collect():  # 2 ** (MAX_BITS + 9) bytes at most
@@ -304,10 +308,11 @@ def table_bits(tokens: int) -> int:
 def train(docs: DataFrame, leaves: Leaves, of_leaf: np.ndarray, rounds: int) -> Model:
     """The model after its updates over all rows of docs."""
     bits = table_bits(int(of_leaf.sum()))
-    seen = summed(docs, bits, leaves, None)
+    chars = int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    seen = summed(docs, chars, bits, leaves, None)
     model = initial(bits, of_leaf, *seen)
     for _ in range(rounds):
-        first, second = summed(docs, bits, leaves, model)
+        first, second = summed(docs, chars, bits, leaves, model)
         model = Model(bits, moved(model.first, seen[0], first), moved(model.second, seen[1], second), model.bias, model.member_bias)
     return model
 

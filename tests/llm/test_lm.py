@@ -167,3 +167,24 @@ def test_more_updates_learn_more_and_weights_lie_row_by_row(spark, docs, monkeyp
 
     op10_lm_scores(spark, "/root/testdata/sf0.001")
     assert asked == [lm.ROUNDS]
+
+
+def test_shares_that_meet_in_one_row(monkeypatch):
+    """All tokens have one history, so a row takes every share; the sums are whole and exact, and additions serve two."""
+    import numpy as np
+
+    n, bits = lm.SUMMED + 5, lm.MIN_BITS
+    rng = np.random.default_rng(1)
+    model = lm.Model(bits, *rng.normal(size=(2, 1 << bits, 32)).astype(np.float32), np.zeros(32, np.float32), np.zeros((32, 32), np.float32))
+    model.first[:, 0] += 9  # nearly all of every share is one class's
+    f, leaf = [np.zeros(n, np.uint64)] * 4, np.full(n, 3 * lm.MEMBERS)
+    calls = []
+    monkeypatch.setattr(lm.np, "bincount", lambda *a, **b: calls.append(a))  # a pass for each class and feature
+    tables = [np.zeros((32, 1 << bits)) for _ in range(2)]
+    model.expect(f, leaf, *tables)
+    assert not calls
+    for table, weights, row in ((tables[0], model.first, 0), (tables[1], model.second, 3 << (bits - 5))):
+        x = 4 * weights[row].astype(float)
+        share = np.rint(lm.ONE * np.exp(x - x.max()) / np.exp(x - x.max()).sum())
+        assert np.abs(table[:, row] / n - 4 * share).max() <= 4 and table[:, row].max() > 0
+        assert np.count_nonzero(table) == np.count_nonzero(table[:, row]) and (table[:, row] % n == 0).all()

@@ -21,12 +21,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix, slices
+from .common import lean, mix, slices
 
 MARK = "▁"
 #: Stands for a literal space mark; a lone surrogate is in no valid text.
@@ -43,15 +44,15 @@ CHAR = 21  # bits of a code point
 
 
 class _Growing:
-    """An array that takes values at its end; its room doubles when it runs out."""
+    """An array that takes values at its end; its room doubles when it runs out. Only what was used takes memory."""
 
     def __init__(self, kind: type):
-        self.room, self.n = np.zeros(1 << 10, kind), 0
+        self.room, self.n = np.empty(2 * KEEP, kind), 0
 
     def add(self, values: np.ndarray) -> None:
         need = self.n + len(values)
         if need > len(self.room):
-            more = np.zeros(max(need, 2 * len(self.room)), self.room.dtype)
+            more = np.empty(max(need, 2 * len(self.room)), self.room.dtype)
             more[: self.n] = self.view
             self.room = more
         self.room[self.n : need] = values
@@ -83,6 +84,12 @@ class PieceSampler:
         self.rest = -2 * alpha * np.log(len(ranked) + RANK)
         self.seed = np.uint64(zlib.crc32(str(seed).encode()))
         self._trie([(p, i, -alpha * np.log(k + RANK)) for k, (_, i, p) in enumerate(ranked)])
+        self.arrays: list[_Growing] = []
+        self._reset()
+
+    def forget(self) -> None:
+        """What a task leaves to the next one in its process: the pieces, but no states or edges."""
+        self.arrays = []
         self._reset()
 
     def _trie(self, pieces: list[tuple[str, int, float]]) -> None:
@@ -100,12 +107,47 @@ class PieceSampler:
                 at = nodes[key]
             ids[at], weights[at] = i, w
         keys = np.array(list(nodes), np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.array(list(nodes.values()), np.int64)[order]
+        # open addressing: a key lies at its place or at one of the next ones, up to `far` behind it
+        self.slots = int(8 * len(keys)).bit_length()
+        place, child = self._place(keys), np.array(list(nodes.values()), np.int64)
+        self.keys, self.child, self.far = np.full((1 << self.slots) + len(keys), -1, np.int64), np.full((1 << self.slots) + len(keys), -1, np.int32), 0
+        left = np.arange(len(keys))
+        while len(left):
+            at = place[left] + self.far
+            free = self.keys[at] < 0
+            self.keys[at[free][::-1]] = keys[left[free][::-1]]
+            here = self.keys[at] == keys[left]
+            self.child[at[here]] = child[left[here]]
+            left, self.far = left[~here], self.far + 1
         self.piece, self.logw = np.array(ids, np.int64), np.array(weights)
 
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.slots)).view(np.int64)
+
+    def _next(self, key: np.ndarray) -> np.ndarray:
+        """The nodes below nodes by characters (node << CHAR | character), -1 where there is none."""
+        at = self._place(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.child[at], -1)
+        left = np.flatnonzero((found != key) & (found >= 0))
+        for k in range(1, self.far):
+            if not len(left):
+                break
+            at = self._place(key[left]) + k
+            found = self.keys[at]
+            here = found == key[left]
+            out[left[here]] = self.child[at[here]]
+            left = left[~here & (found >= 0)]
+        return out
+
     def _reset(self) -> None:
+        """Drop all states and edges. Their room stays, unless it has doubled."""
         self.base: dict[str, int] = {}
+        if self.arrays and max(len(a.room) for a in self.arrays) == 2 * KEEP:
+            for a in self.arrays:
+                a.n = 0
+            return
         #: the shares, first states, offsets and sizes of all edges, the pool of ids, and which states begin a unit
         self.arrays = [_Growing(t) for t in (np.int64, np.int32, np.int32, np.int32, np.int32, bool)]
 
@@ -121,10 +163,9 @@ class PieceSampler:
         at, node, size = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
         starts, sizes, ids, logw = [], [], [], []
         while len(at):
-            key = node << CHAR | chars[at + size]
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = self.keys[k] == key
-            at, node, size = at[ok], self.child[k[ok]], size + 1
+            node = self._next(node << CHAR | chars[at + size])
+            ok = node >= 0
+            at, node, size = at[ok], node[ok].astype(np.int64), size + 1
             is_piece = self.piece[node] >= 0
             if size == 1:
                 lone = np.ones(len(chars), bool)
@@ -141,7 +182,9 @@ class PieceSampler:
         ids = np.concatenate([*ids, np.full(len(lone), -1)])
         logw = np.concatenate([*logw, np.full(len(lone), self.rest)])
         stop = start + size
-        order = np.lexsort((start, stop))
+        # by place of the end, longest first; no two edges have equal ones
+        most = int(size.max()) + 1
+        order = np.sort((stop * most + most - size) << 32 | np.arange(len(stop))) & 0xFFFFFFFF
         start, stop, ids, logw = start[order], stop[order], ids[order], logw[order]
         of = unit[start]
         # the sums of all ways, for the t-th place of every unit in turn; state: place plus one for each unit before
@@ -149,7 +192,7 @@ class PieceSampler:
         ways[begin + np.arange(len(units))] = 0.0
         first, last = start + of, stop + of
         depth = stop - begin[of]
-        by_depth = np.argsort(depth, kind="stable")
+        by_depth = np.argsort(depth.astype(np.uint16) if int(n.max()) < 1 << 16 else depth, kind="stable")
         cuts = np.searchsorted(depth[by_depth], np.arange(1, int(n.max()) + 2))
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             e = by_depth[lo:hi]
@@ -244,6 +287,11 @@ class PieceSampler:
         return b"".join(map(self.spelled.__getitem__, ids.tolist()))[1:].decode()
 
 
+@lru_cache(maxsize=1)
+def sampler(path: str, alpha: float, seed: int) -> PieceSampler:
+    return PieceSampler(path, alpha, seed)
+
+
 def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """doc_id and ids (null for a null text) for every row of docs."""
     return _run(docs, path, alpha, seed, False)
@@ -256,7 +304,8 @@ def digest(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0) -> Dat
 
 def _run(docs: DataFrame, path: str, alpha: float, seed: int, digested: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = PieceSampler(path, alpha, seed)
+        s = sampler(path, alpha, seed)
+        s.forget()
         for batch in batches:
             for b in slices(batch):
                 texts, keys = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
@@ -268,8 +317,9 @@ def _run(docs: DataFrame, path: str, alpha: float, seed: int, digested: bool) ->
                     })
                 else:
                     yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "ids": pa.array([None if t is None else x for x, t in zip(ids, texts, strict=True)], pa.list_(pa.int32()))})
+        s.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean" if digested else "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_pieces long, ids_crc32 long, lossless boolean" if digested else "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard self-join by universe-partition pigeonhole.
 
-Sets are the distinct 5-word shingles of a text (the whole sequence, if it has fewer words), as 64-bit hashes. Two
+Sets are the distinct 5-word shingles of a text (the whole sequence, if it has fewer words), as 48-bit hashes. Two
 sets with n and m elements are linked when 4 * |both| >= 3 * |either|, so they differ in at most (n + m) / 7 elements.
 
 Sizes are cut into bands. A band has a layout: a hash deals the universe of elements out to its segments. The larger
@@ -27,7 +27,7 @@ largest size it can be linked with.
    pairs whose elements before it already differ too much. Nothing is capped.
 
 Candidates are held against bitmaps (a bit that differs is an element that differs, so none is lost), then verified
-on the hashes, for each set with its smallest and largest partner first; candidates that are by then in one
+on the hashes, for each set with its smallest and then its largest partner first; candidates that are by then in one
 component need no look, all others are verified too. Equal sets are one class before all this, so copies cost one set.
 
 Keys travel in packed blocks, at most `hot` + 1 a key and block, and meet in buckets that number with the input.
@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, word_hashes, workers, written
+from .common import lean, mix, slices, word_hashes, workers, written
 from .graph import components
 
 SHINGLE = 5
@@ -66,8 +66,15 @@ BROADCAST_ROWS = 2_000_000
 #: Further centres are tried while more pairs than this meet for each row that is left, and at most so many times.
 FEW_PAIRS = 8
 CENTRE_ROUNDS = 4
+#: Sets under an element that are compared in one task with each other, or with as many others.
+CELL = 1024
 #: Smallest sizes of the bands; 3 is the least size that links with another, of 4.
 BANDS = np.array([3, *(4 << k for k in range(40))], np.int64)
+#: Sizes in a set's name: those from one of these up to below the next are one class, exact up to 64.
+CLASS_BITS = 8
+SIZES = np.array([*range(64), *(64 * 2 ** (np.arange(192) / 8)).astype(np.int64)], np.int64)
+#: Bytes of an element that is sent or kept.
+ELEMENT = 6
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -90,7 +97,7 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
                 use = counts[short] > j
                 more[use] = more[use] * _STEP + words[begin[short][use] + j]
             h, at = np.concatenate([h, more + counts[short].astype(np.uint64)]), np.concatenate([at, short])
-        h = mix(h)
+        h = mix(h) >> np.uint64(64 - 8 * ELEMENT)
     order = np.lexsort((h, at))
     h, at = h[order], at[order]
     if len(h):
@@ -100,12 +107,13 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def fingerprints(at: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each set; 0 for the empty one."""
+    """One 64-bit name for each set, whose low bits are the class of its size; 0 for the empty one."""
     out = np.zeros(len(n), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
         with np.errstate(over="ignore"):
-            out[full] = mix(np.add.reduceat(mix(h + np.uint64(1)), (np.cumsum(n) - n)[full]) + n[full].astype(np.uint64))
+            name = mix(np.add.reduceat(mix(h + np.uint64(1)), (np.cumsum(n) - n)[full]) + n[full].astype(np.uint64))
+            out[full] = name >> np.uint64(CLASS_BITS) << np.uint64(CLASS_BITS) | (np.searchsorted(SIZES, n[full], "right") - 1).astype(np.uint64)
     return out.view(np.int64)
 
 
@@ -219,7 +227,8 @@ def short_of(at: np.ndarray, h: np.ndarray, n: np.ndarray, hot: Bits, buckets: i
     return out
 
 
-_BLOCK = "bucket int, keys binary, sets binary, fps binary, sizes binary"
+#: The keys of a bucket (32 bits each) set by set, how many each set has, and the sets' names.
+_BLOCK = "bucket int, keys binary, counts binary, fps binary"
 
 
 class _Packer:
@@ -230,52 +239,53 @@ class _Packer:
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.who, self.fp, self.n, self.held, self.sets = [], [], [], [], 0, 0
+        self.key, self.who, self.fp, self.held, self.sets = [], [], [], 0, 0
 
-    def add(self, key: np.ndarray, who: np.ndarray, fp: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, key: np.ndarray, who: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.key.append(key)
         self.who.append(who + self.sets)
         self.fp.append(fp)
-        self.n.append(n)
-        self.held, self.sets = self.held + len(key), self.sets + len(n)
+        self.held, self.sets = self.held + len(key), self.sets + len(fp)
         if self.held >= WINDOW_KEYS:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             key, who = np.concatenate(self.key), np.concatenate(self.who).astype(np.uint32)
-            fp, n = np.concatenate(self.fp), np.concatenate(self.n)
+            fp = np.concatenate(self.fp)
             order = np.argsort(key)
             key, who = key[order], who[order]
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             rank = np.arange(len(key)) - np.repeat(new, np.diff(new, append=len(key)))
             key, who = key[rank <= self.hot], who[rank <= self.hot]
             bucket, low = _place(key, self.buckets)
+            order = np.argsort(bucket << 32 | who)
+            bucket, low, who = bucket[order], low[order], who[order]
             cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
             rows = []
             for b in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[b], cuts[b + 1])
-                use, index = np.unique(who[part], return_inverse=True)
-                kind = np.uint16 if len(use) <= 1 << 16 else np.uint32
-                rows.append((int(b), low[part].tobytes(), index.astype(kind).tobytes(), fp[use].tobytes(), n[use].astype(np.int32).tobytes()))
+                first = np.flatnonzero(np.diff(who[part], prepend=np.uint32(who[part][0] ^ 1)))
+                counts = np.diff(first, append=len(who[part]))
+                kind = np.uint8 if counts.max() < 1 << 8 else np.uint32
+                rows.append((int(b), low[part].tobytes(), counts.astype(kind).tobytes(), fp[who[part][first]].tobytes()))
             for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 64]], pa.int32() if k == 0 else pa.binary()) for k in range(5)], ["bucket", "keys", "sets", "fps", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 64]], pa.int32() if k == 0 else pa.binary()) for k in range(4)], ["bucket", "keys", "counts", "fps"])
         self.clear()
 
 
-def _met(blocks: list[tuple[bytes, bytes, bytes, bytes]], bucket: int, most: int, bits: int) -> pa.RecordBatch:
+def _met(blocks: list[tuple[bytes, bytes, bytes]], bucket: int, most: int, bits: int) -> pa.RecordBatch:
     """Candidate pairs of one bucket, and the places of its hot keys."""
-    low, who, fps, sizes, base = [], [], [], [], 0
-    for k, s, f, z in blocks:
+    low, counts, fps = [], [], []
+    for k, c, f in blocks:
         low.append(np.frombuffer(k, np.uint32))
-        index = np.frombuffer(s, np.uint16 if len(s) == 2 * len(low[-1]) else np.uint32).astype(np.int64)
-        who.append(index + base)
         fps.append(np.frombuffer(f, np.int64))
-        sizes.append(np.frombuffer(z, np.int32))
-        base += len(fps[-1])
-    fp, first, same = np.unique(np.concatenate(fps), return_index=True, return_inverse=True)
-    n = np.concatenate(sizes)[first].astype(np.int64)
-    code = np.unique(np.concatenate(low).astype(np.uint64) << np.uint64(32) | same[np.concatenate(who)].astype(np.uint64))
+        counts.append(np.frombuffer(c, np.uint8 if len(c) == len(fps[-1]) else np.uint32).astype(np.int64))
+    fp, same = np.unique(np.concatenate(fps), return_inverse=True)
+    who = np.repeat(np.arange(len(same)), np.concatenate(counts))
+    size_class = fp & ((1 << CLASS_BITS) - 1)
+    least, most_n = SIZES[size_class], np.append(SIZES[1:], 1 << 62)[size_class] - 1
+    code = np.unique(np.concatenate(low).astype(np.uint64) << np.uint64(32) | same[who].astype(np.uint64))
     key, node = code >> np.uint64(32), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(new, append=len(key))
@@ -290,7 +300,7 @@ def _met(blocks: list[tuple[bytes, bytes, bytes, bytes]], bucket: int, most: int
         if not len(i):
             break
         a, b = node[i], node[i + d]  # a < b, as nodes are sorted under a key
-        fit = 4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])
+        fit = 4 * np.minimum(most_n[a], most_n[b]) >= 3 * np.maximum(least[a], least[b])
         found.append(np.unique(a[fit] * len(fp) + b[fit]))
     pair = np.unique(np.concatenate(found))
     a, b = pair // len(fp), pair % len(fp)
@@ -308,7 +318,7 @@ def _meet(blocks: DataFrame, buckets: int, most: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for b in batches:
-            for bucket, *rest in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for bucket, *rest in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if bucket != now and held:
                     yield _met(held, now, most, bits)
                     held = []
@@ -317,7 +327,7 @@ def _meet(blocks: DataFrame, buckets: int, most: int, bits: int) -> DataFrame:
         if held:
             yield _met(held, now, most, bits)
 
-    return written(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, hot long"))
+    return written(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "a long, b long, hot long"))
 
 
 def _bitmap(places: DataFrame, bits: int) -> Bits:
@@ -344,7 +354,7 @@ def _stars(profile: DataFrame, live: Bits, turn: int) -> DataFrame:
             at = pa.array(who)
             yield pa.RecordBatch.from_arrays([pa.array(spot, pa.int64()), b.column("fp").take(at), b.column("n").take(at)], ["spot", "fp", "n"])
 
-    rows = profile.mapInArrow(run, "spot long, fp long, n long")
+    rows = profile.mapInArrow(lean(run), "spot long, fp long, n long")
     centre = rows.groupBy("spot").agg(F.min_by(F.struct("fp", "n"), F.xxhash64("fp", F.lit(turn))).alias("c"), F.count("*").alias("many")).filter("many > 1")
     # a key may hold very many sets: they are dealt to parts, each of which has the one set
     centre = centre.select(F.col("spot").alias("c_spot"), F.col("c.fp").alias("c_fp"), F.col("c.n").alias("c_n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -378,7 +388,7 @@ def _unsettled(profile: DataFrame, roots: DataFrame, bits: int) -> tuple[DataFra
             if len(new):
                 yield pa.RecordBatch.from_pydict({"spot": pa.array(spot[new]), "lo": pa.array(np.minimum.reduceat(root, new)), "hi": pa.array(np.maximum.reduceat(root, new))})
 
-    by = placed.mapInArrow(fold, "spot long, lo long, hi long").groupBy("spot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by = placed.mapInArrow(lean(fold), "spot long, lo long, hi long").groupBy("spot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     live = _bitmap(by.filter("lo <> hi").select("spot"), bits)
     sent = profile.sparkSession.sparkContext.broadcast(live)
 
@@ -392,7 +402,7 @@ def _unsettled(profile: DataFrame, roots: DataFrame, bits: int) -> tuple[DataFra
                 lacks |= np.asarray(b.column("lacks" + k), np.int64) > np.bincount(who[settled], minlength=b.num_rows)
             yield b.filter(pa.array(lacks))
 
-    return written(profile.mapInArrow(left, profile.schema)), live
+    return written(profile.mapInArrow(lean(left), profile.schema)), live
 
 
 def _bitmap_of(x: np.ndarray) -> bytes:
@@ -413,6 +423,17 @@ def _may_link(a: bytes, b: bytes, n: int, m: int) -> bool:
     return 7 * int(np.bitwise_count(x ^ y).sum()) <= n + m
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """A set's elements in ELEMENT bytes each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ELEMENT].tobytes()
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // ELEMENT, 8), np.uint8)
+    out[:, :ELEMENT] = np.frombuffer(x, np.uint8).reshape(-1, ELEMENT)
+    return out.reshape(-1).view("<u8")
+
+
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 4 * both >= 3 * (len(a) + len(b) - both)
@@ -430,10 +451,10 @@ def _checked(pairs: DataFrame, sets: DataFrame, column: str, exact: bool) -> Dat
             ok = []
             for x, y, i, j in zip(t.column("ax"), t.column("bx"), n, m, strict=True):
                 x, y = x.as_py(), y.as_py()
-                ok.append(_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) if exact else _may_link(x, y, i, j))
+                ok.append(_linked(_unpack(x), _unpack(y)) if exact else _may_link(x, y, i, j))
             yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -474,6 +495,65 @@ def _meeting(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
     return p.join(q, on).select(F.least("p.fp", "q.fp").alias("a"), F.greatest("p.fp", "q.fp").alias("b")).distinct()
 
 
+def _cell_pairs(fp: np.ndarray, n: np.ndarray, before: np.ndarray, root: np.ndarray, bits: list[bytes], part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of one cell that are in different components and may be linked, by size, place and bitmap.
+
+    Sets of one part meet each other if there is no second one, else those of the other part.
+    """
+    length, rest = np.array([len(x) // 8 for x in bits]), n - before
+    across, found = part.min() != part.max(), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for size in np.unique(length):
+        mine = np.flatnonzero(length == size)
+        # linked sets have bitmaps of one size, or of one and its double, which is folded
+        other = np.flatnonzero((length == size) | (length == 2 * size))
+        table = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[j], np.uint64).reshape(-1, size)) for j in other])
+        for k in mine:
+            use = (root[other] != root[k]) & (7 * np.minimum(rest[other], rest[k]) >= 3 * (n[other] + n[k]))
+            use &= (length[other] > size) | (other > k)  # each pair once
+            if across:
+                use &= part[other] != part[k]
+            at = np.flatnonzero(use)
+            if len(at):
+                at = at[7 * np.bitwise_count(table[at] ^ np.frombuffer(bits[k], np.uint64)).sum(axis=1, dtype=np.int64) <= n[other[at]] + n[k]]
+                found.append((np.minimum(fp[other[at]], fp[k]), np.maximum(fp[other[at]], fp[k])))
+    return tuple(np.concatenate([x[i] for x in found]) for i in (0, 1))
+
+
+def _meeting_all(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """As _meeting of all sets under each element, where bitmaps (fp, bits) allow a link: no other pair becomes a row.
+
+    The sets under an element are dealt to parts of about CELL; a task has two parts at once.
+    """
+    many = placed.groupBy("x").agg(F.count("*").alias("many")).filter("many > 1")
+    parts = F.ceil(F.col("many") / CELL).cast("int")
+    rows = placed.join(many, "x").join(bitmaps.select("fp", "bits"), "fp").withColumn("part", F.pmod(F.xxhash64("fp", "x"), parts).cast("int"))
+    rows = rows.select("x", "fp", "n", "before", "root", "bits", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
+    rows = rows.withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with")).drop("with")
+    dealt = rows.repartition(workers(placed.sparkSession), "x", "lo", "hi").sortWithinPartitions("x", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            fp, n, before, root, bits, part = zip(*held, strict=True)
+            a, b = _cell_pairs(*(np.array(x, np.int64) for x in (fp, n, before, root)), list(bits), np.array(part))
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        now = None
+        for t in batches:
+            cells = zip(*(t.column(k).to_pylist() for k in ("x", "lo", "hi")), strict=True)
+            for cell, row in zip(cells, zip(*(t.column(k).to_pylist() for k in ("fp", "n", "before", "root", "bits", "part")), strict=True), strict=True):
+                if cell != now and held:
+                    yield done()
+                    held = []
+                now = cell
+                held.append(row)
+        if held:
+            yield done()
+
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
+
+
 def set_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n, fp (of the set) of every row of docs, written."""
 
@@ -483,7 +563,7 @@ def set_classes(docs: DataFrame) -> DataFrame:
                 at, h, n = shingle_sets(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "fp": pa.array(fingerprints(at, h, n), pa.int64())})
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long"))
+    return written(docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, fp long"))
 
 
 def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -503,7 +583,7 @@ def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, n
 
 
 def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    x = [np.frombuffer(v.as_py(), np.uint64) for v in b.column("elements")]
+    x = [_unpack(v.as_py()) for v in b.column("elements")]
     n = np.array([len(v) for v in x], np.int64)
     return np.repeat(np.arange(len(n)), n), np.concatenate([np.zeros(0, np.uint64), *x]), n, np.asarray(b.column("fp"), np.int64)
 
@@ -520,10 +600,10 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         packer = _Packer(buckets, hot)
         for at, h, n, fp in _new_sets(batches):
             key, who, _, _ = keys(at, h, n, False)
-            yield from packer.add(key, who, fp, n)
+            yield from packer.add(key, who, fp)
         yield from packer.flush()
 
-    met = _meet(texts.mapInArrow(index, _BLOCK), buckets, hot, bits)
+    met = _meet(texts.mapInArrow(lean(index), _BLOCK), buckets, hot, bits)
     heat = spark.sparkContext.broadcast(_bitmap(met.filter("hot is not null").select("hot"), bits))
     nodes = met.select(F.explode(F.array("a", "b")).alias("fp")).filter("fp is not null").distinct()
     wanted = spark.sparkContext.broadcast(_bitmap(nodes.select(F.shiftrightunsigned(F.xxhash64("fp"), 64 - bits)), bits))
@@ -543,43 +623,46 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
             x = [h[begin[k] : begin[k] + n[k]] for k in use]
             yield pa.RecordBatch.from_pydict({
                 "fp": pa.array(fp[use], pa.int64()), "n": pa.array(n[use], pa.int64()), "short": pa.array(short[use], pa.bool_()),
-                "elements": pa.array([v.tobytes() for v in x], pa.binary()), "bits": pa.array([_bitmap_of(v) for v in x], pa.binary()),
+                "elements": pa.array([_pack(v) for v in x], pa.binary()), "bits": pa.array([_bitmap_of(v) for v in x], pa.binary()),
                 **{f"lacks{s}": pa.array(lacks[use], pa.int64()) for s, (lacks, _) in enumerate(layouts)},
                 **{f"spots{s}": pa.array([spots[k].tobytes() if short[k] else None for k in use], pa.binary()) for s, (_, spots) in enumerate(layouts)},
             })
 
-    sets = written(texts.mapInArrow(gather, "fp long, n long, short boolean, elements binary, bits binary, lacks0 long, lacks1 long, spots0 binary, spots1 binary"))
+    sets = written(texts.mapInArrow(lean(gather), "fp long, n long, short boolean, elements binary, bits binary, lacks0 long, lacks1 long, spots0 binary, spots1 binary"))
     small = sets.select("fp", "n", "bits").dropDuplicates(["fp"])
     pairs = met.filter("a is not null").select("a", "b")
 
     profile = sets.filter("short").select("fp", "n", "lacks0", "lacks1", "spots0", "spots1").dropDuplicates(["fp"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Bitmaps first: they are small, and few pairs that they pass aren't linked."""
-        pairs = written(_checked(pairs, small, "bits", False))
+    def of_ends(pairs: DataFrame, column: str) -> DataFrame:
+        """fp, n and a column of the sets in pairs, once each; no others are moved."""
         ends = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
         few = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-        return written(_checked(pairs, sets.select("fp", "n", "elements").join(few, "fp", "left_semi").dropDuplicates(["fp"]), "elements", True))
+        return sets.select("fp", "n", column).join(few, "fp", "left_semi").dropDuplicates(["fp"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Bitmaps first: they are small, and few pairs that they pass aren't linked."""
+        pairs = written(_checked(pairs, of_ends(pairs, "bits"), "bits", False))
+        return written(_checked(pairs, of_ends(pairs, "elements"), "elements", True))
 
     def joined(pairs: DataFrame, sure: DataFrame | None, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """The links so far with those among the pairs that could decide a component, and the components.
 
-        Each set comes with its smallest and largest partner first, then what is still apart: most pairs of a group
-        need no look.
+        Each set comes with its smallest partner first, then with its largest, then what is still apart: most pairs of
+        a group need no look.
         """
         if roots is not None:
             pairs = written(_apart(pairs, roots))
-        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        last = pairs.groupBy("a").agg(F.max("b").alias("b")).select("a", "b")
-        first = written(first.unionByName(last).distinct())
-        more = verified(first)
-        sure = more if sure is None else sure.unionByName(more)
-        roots = components(sure)
-        others = written(_apart(pairs, roots).join(first, ["a", "b"], "left_anti"))
-        if not others.isEmpty():
-            sure = sure.unionByName(verified(others))
+        for key, end, pick in (("b", "a", F.min), ("a", "b", F.max)):
+            first = written(pairs.groupBy(key).agg(pick(end).alias(end)).select("a", "b"))
+            more = verified(first)
+            sure = more if sure is None else sure.unionByName(more)
             roots = components(sure)
-        return sure, roots
+            pairs = written(_apart(pairs, roots).join(first, ["a", "b"], "left_anti"))
+            if pairs.isEmpty():
+                return sure, roots
+        sure = sure.unionByName(verified(pairs))
+        return sure, components(sure)
 
     sure, roots = joined(written(pairs.distinct()), None, None)
     if sets.filter("short").isEmpty():
@@ -605,10 +688,10 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
             for part in slices(b, "elements"):
                 at, h, n, fp = _unpacked(part)
                 key, who, _, _ = keys(at, h, n, True)
-                yield from packer.add(key, who, fp, n)
+                yield from packer.add(key, who, fp)
         yield from packer.flush()
 
-    met2 = _meet(short.mapInArrow(again, _BLOCK), buckets, hot, bits)
+    met2 = _meet(short.mapInArrow(lean(again), _BLOCK), buckets, hot, bits)
     heat2 = spark.sparkContext.broadcast(_bitmap(met2.filter("hot is not null").select("hot"), bits))
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -620,7 +703,7 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
                 use = short_of(at, h, n, heat2.value, buckets, True)[at]
                 yield pa.RecordBatch.from_pydict({"x": pa.array(h[use].view(np.int64), pa.int64()), "fp": pa.array(fp[at[use]], pa.int64()), "n": pa.array(n[at[use]], pa.int64())})
 
-    every = written(short.mapInArrow(firsts, "x long, fp long, n long"))
+    every = written(short.mapInArrow(lean(firsts), "x long, fp long, n long"))
     often = every.groupBy("x").agg(F.count("*").alias("d")).filter("d > 1")
     # what no other of these sets has comes first and leads nowhere: only how many there are matters
     lone = F.col("n") - F.col("m")
@@ -646,7 +729,7 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         roots = components(sure)
         placed = _mixed(heads, roots)
     if not placed.isEmpty():
-        more = verified(written(_meeting(placed, placed, F.col("p.root") < F.col("q.root"))))
+        more = verified(written(_meeting_all(placed, small)))
         roots = components(sure.unionByName(more))
     return roots
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
@@ -55,6 +57,15 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more; else they stay until its driver
+    happens to collect its garbage."""
+    for _ in range(2):  # Python's side lets go in a thread of its own
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file of the public tokenizers, which every machine has installed."""
     import public_tokenizers

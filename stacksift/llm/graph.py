@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     star), until no edge changes; rounds are written to the shared folder. Minima are folded in every task before they
     move; rows of a node with very many neighbours are joined to one row, which Spark may deal to several tasks.
     """
-    e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     if e.limit(SMALL + 1).count() <= SMALL:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node), "root": pa.array(root)})
 
         return written(e.coalesce(1).mapInArrow(run, "node long, root long"))
-    before = None
+    before, e = None, written(e.distinct())
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("k"), F.least("a", "low").alias("low"))

@@ -9,7 +9,8 @@ segments one is equal on both sides. A set takes part in the layout of its own b
 largest size it can be linked with.
 
 1. Index: every non-empty segment's subset gives a key; sets that share a key are candidates. A key with more than
-   `hot` sets is not paired.
+   `hot` sets is not paired. As linked sets share all of their other keys but one for each difference, candidates that
+   share fewer go before any elements move.
 2. Allocation: a set of n that has floor((n + m) / 7) + 1 non-hot keys in each of its layouts, for the largest size m
    it can meet there, shares one of them with every set it is linked with, larger or smaller (the other side shares
    the key, and its heat), and loses nothing by leaving its hot ones out. The others are short, and pairs of two short
@@ -24,12 +25,16 @@ largest size it can be linked with.
 5. Sets that are short again share an element among the n - ceil(3 n / 4) + 1 first of each, where elements that few
    of these sets have come first. They are compared with the smallest set under each such element, where many pairs
    are left with a few further ones, and then with all sets under it that aren't yet in the same component, but for
-   pairs whose elements before it already differ too much. Nothing is capped.
+   pairs whose elements before it already differ too much. Pairs are verified where they meet, and only links that join
+   components become rows. Nothing is capped.
 
 Candidates are held against bitmaps (a bit that differs is an element that differs, so none is lost), then verified
 on the hashes, for each set with its smallest and then its largest partner first; candidates that are by then in one
 component need no look, all others are verified too. Equal sets are one class before all this, so copies cost one set.
 
+A bounded number of pairs or sets (ONE_PAIRS, ONE_SETS, ONE_BYTES) is settled by one task instead of by the steps that
+are left, with equal results.
+
 Keys travel in packed blocks, at most `hot` + 1 a key and block, and meet in buckets that number with the input.
 The hot keys reach executors as a bitmap of a bit for every 16 elements, 2**MOST_BITS bits at most; a false hit makes a
 set short, which costs time only.
@@ -47,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mix, slices, word_hashes, workers, written
+from .common import forget, lean, mix, slices, word_hashes, workers, written
 from .graph import components
 
 SHINGLE = 5
@@ -56,7 +61,7 @@ HOT = 24
 LEAST_BITS, MOST_BITS = 20, 28
 WINDOW_KEYS = 500_000
 #: Keys of a bucket, about.
-BUCKET_KEYS = 500_000
+BUCKET_KEYS = 1_500_000
 #: Turns in which short sets are compared with one set under each of STARS hot keys; they end early if they settle few.
 TURNS, STARS = 4, 2
 #: Parts into which the sets under a key are dealt for that.
@@ -68,6 +73,10 @@ FEW_PAIRS = 8
 CENTRE_ROUNDS = 4
 #: Sets under an element that are compared in one task with each other, or with as many others.
 CELL = 1024
+#: What one task may settle by itself: pairs, or sets that are all compared with each other, and bytes of their elements.
+ONE_PAIRS, ONE_SETS, ONE_BYTES = 50_000, 4096, 32 << 20
+#: Components' rows (16 bytes each) that are broadcast to joins; more are joined by a shuffle.
+NEAR_ROWS = 200_000
 #: Smallest sizes of the bands; 3 is the least size that links with another, of 4.
 BANDS = np.array([3, *(4 << k for k in range(40))], np.int64)
 #: Sizes in a set's name: those from one of these up to below the next are one class, exact up to 64.
@@ -301,19 +310,20 @@ def _met(blocks: list[tuple[bytes, bytes, bytes]], bucket: int, most: int, bits:
             break
         a, b = node[i], node[i + d]  # a < b, as nodes are sorted under a key
         fit = 4 * np.minimum(most_n[a], most_n[b]) >= 3 * np.maximum(least[a], least[b])
-        found.append(np.unique(a[fit] * len(fp) + b[fit]))
-    pair = np.unique(np.concatenate(found))
+        found.append(a[fit] * len(fp) + b[fit])
+    pair, many = np.unique(np.concatenate(found), return_counts=True)
     a, b = pair // len(fp), pair % len(fp)
     hot = np.unique(hot)
     none = pa.nulls(len(hot), pa.int64())
     return pa.RecordBatch.from_arrays([
         pa.chunked_array([pa.array(fp[a]), none]).combine_chunks(), pa.chunked_array([pa.array(fp[b]), none]).combine_chunks(),
         pa.chunked_array([pa.nulls(len(a), pa.int64()), pa.array(hot, pa.int64())]).combine_chunks(),
-    ], ["a", "b", "hot"])
+        pa.chunked_array([pa.array(many, pa.int64()), none]).combine_chunks(),
+    ], ["a", "b", "hot", "many"])
 
 
 def _meet(blocks: DataFrame, buckets: int, most: int, bits: int) -> DataFrame:
-    """a, b of candidates or hot (a place in the bitmap of hot keys), written."""
+    """a, b of candidates and how many keys they share here, or hot (a place in the bitmap of hot keys), written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -327,7 +337,7 @@ def _meet(blocks: DataFrame, buckets: int, most: int, bits: int) -> DataFrame:
         if held:
             yield _met(held, now, most, bits)
 
-    return written(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "a long, b long, hot long"))
+    return written(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "a long, b long, hot long, many long"))
 
 
 def _bitmap(places: DataFrame, bits: int) -> Bits:
@@ -339,6 +349,28 @@ def _bitmap(places: DataFrame, bits: int) -> Bits:
     return out
 
 
+def _near(rows: DataFrame) -> DataFrame:
+    """The rows, broadcast to a join if they are few."""
+    return F.broadcast(rows) if rows.limit(NEAR_ROWS + 1).count() <= NEAR_ROWS else rows
+
+
+def _enough(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """The candidates (a, b) that share as many keys as linked sets do at least.
+
+    Sets that differ in d elements differ in d segments of a layout at most, so they share all cold keys of either but
+    d, in each layout that both take part in. One key less is asked for, as two keys of a set may be one in a bucket.
+    sets: fp, n, band, cold0 and cold1 (cold keys in the layout of the own band and the next; -1: takes no part).
+    """
+    pairs = met.filter("a is not null").groupBy("a", "b").agg(F.sum("many").alias("many"))
+    names = ("n", "band", "cold0", "cold1")
+    for end in "ab":
+        pairs = pairs.join(sets.select(F.col("fp").alias(end), *(F.col(k).alias(end + k) for k in names)), end)
+    differ = "cast((an + bn) div 7 as long)"
+    least = f"""case when aband = bband then greatest(0, greatest(acold0, bcold0) - {differ}) + if(acold1 >= 0 and bcold1 >= 0, greatest(0, greatest(acold1, bcold1) - {differ}), 0)
+        when aband + 1 = bband then greatest(acold1, bcold0) - {differ} when bband + 1 = aband then greatest(acold0, bcold1) - {differ} end"""
+    return pairs.filter(f"4 * least(an, bn) >= 3 * greatest(an, bn) and many >= {least} - 1").select("a", "b")
+
+
 def _stars(profile: DataFrame, live: Bits, turn: int) -> DataFrame:
     """Pairs (a < b) of sets with the one set that is chosen under each of a few of their live hot keys."""
 
@@ -376,7 +408,7 @@ def _spots(b: pa.RecordBatch, live: Bits | None) -> tuple[np.ndarray, np.ndarray
 
 def _unsettled(profile: DataFrame, roots: DataFrame, bits: int) -> tuple[DataFrame, Bits]:
     """The profiles that lack settled keys, and the map of hot keys that hold sets of several components."""
-    placed = profile.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = profile.join(_near(roots.select(F.col("node").alias("fp"), "root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for t in batches for part in slices(t, "spots0", 4096)):
@@ -461,7 +493,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends aren't in one component."""
     a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return pairs.join(_near(a), "a", "left").join(_near(b), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def _each_head(heads: DataFrame, *more: str) -> DataFrame:
@@ -472,7 +504,7 @@ def _each_head(heads: DataFrame, *more: str) -> DataFrame:
 def _mixed(heads: DataFrame, roots: DataFrame) -> DataFrame:
     """The first elements of sets (fp, n, lone, xs) with their root, where not all sets of one are in one component;
     written. Roots are joined to sets, before there is a row for each element."""
-    placed = _each_head(heads.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "root")
+    placed = _each_head(heads.join(_near(roots.select(F.col("node").alias("fp"), "root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "root")
     mixed = placed.groupBy("x").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("x")
     return written(placed.join(mixed, "x", "left_semi"))
 
@@ -519,15 +551,111 @@ def _cell_pairs(fp: np.ndarray, n: np.ndarray, before: np.ndarray, root: np.ndar
     return tuple(np.concatenate([x[i] for x in found]) for i in (0, 1))
 
 
-def _meeting_all(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """As _meeting of all sets under each element, where bitmaps (fp, bits) allow a link: no other pair becomes a row.
+def _links_of(x: list[np.ndarray], label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (a, b: numbers of sets) that are linked and join two components; label is kept current.
+
+    Labels are numbers below len(label). A set is held against all its partners of other components at once.
+    """
+    if not len(a):
+        return a, b
+    n = np.array([len(v) for v in x], np.int64)
+    begin = np.cumsum(n) - n
+    kinds, code = np.unique(np.concatenate(x), return_inverse=True)
+    mark, order = np.zeros(len(kinds), bool), np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    cuts, found = np.flatnonzero(np.diff(a, prepend=-1)), []
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(a)), strict=True):
+        k, other = a[lo], b[lo:hi]
+        other = other[label[other] != label[k]]
+        if not len(other):
+            continue
+        mine = code[begin[k] : begin[k] + n[k]]
+        mark[mine] = True
+        at = np.repeat(begin[other] - (np.cumsum(n[other]) - n[other]), n[other]) + np.arange(n[other].sum())
+        both = np.add.reduceat(mark[code[at]].astype(np.int64), np.cumsum(n[other]) - n[other])
+        mark[mine] = False
+        for c in other[4 * both >= 3 * (n[other] + n[k] - both)]:
+            if label[c] != label[k]:
+                label[label == label[c]] = label[k]
+                found.append((k, c))
+    out = np.array(found, np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def _cell_links(fp: np.ndarray, before: np.ndarray, root: np.ndarray, x: list[np.ndarray], part: np.ndarray, across: bool) -> pa.RecordBatch:
+    """Links (a < b) of sets of the parts that join components, enough to join all that these links join.
+
+    Parts are taken two at a time, so the pairs that are held at once don't grow with their number; with across, sets
+    of one part aren't compared with each other.
+    """
+    n, bits = np.array([len(v) for v in x], np.int64), [_bitmap_of(v) for v in x]
+    label = np.unique(root, return_inverse=True)[1]
+    out = [np.zeros((2, 0), np.int64)]
+    parts = np.unique(part)
+    for i, p in enumerate(parts):
+        for q in parts[i:]:
+            if p != q or not across:
+                use = np.flatnonzero((part == p) | (part == q))
+                a, b = _cell_pairs(np.arange(len(use)), n[use], before[use], label[use], [bits[k] for k in use], part[use])
+                a, b = _links_of(x, label, use[a], use[b])
+                out.append(np.stack([fp[a], fp[b]]))
+    a, b = np.concatenate(out, axis=1)
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _in_one(sets: DataFrame, roots: DataFrame, fps: np.ndarray) -> DataFrame:
+    """Links between any of a few sets (fp, elements; each may come twice), found in one task; written."""
+    spark = sets.sparkSession
+    few = spark.createDataFrame(pa.table({"fp": pa.array(fps, pa.int64())}))
+    rows = sets.select("fp", "elements").join(F.broadcast(few), "fp", "left_semi")
+    rows = rows.join(_near(roots.select(F.col("node").alias("fp"), "root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "elements").repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {f: (r, e) for t in batches for f, r, e in zip(*(t.column(k).to_pylist() for k in ("fp", "root", "elements")), strict=True)}
+        if held:
+            fp = np.array(sorted(held), np.int64)
+            yield _cell_links(fp, np.zeros(len(fp), np.int64), np.array([held[f][0] for f in fp.tolist()], np.int64), [_unpack(held[f][1]) for f in fp.tolist()], np.arange(len(fp)) // CELL, False)
+
+    return written(rows.mapInArrow(lean(run), "a long, b long"))
+
+
+def _pairs_in_one(sets: DataFrame, a: np.ndarray, b: np.ndarray) -> DataFrame:
+    """Those of a few pairs that are linked, enough to join what they join, found in one task; written."""
+    spark = sets.sparkSession
+    few = spark.createDataFrame(pa.table({"fp": pa.array(np.unique(np.concatenate([a, b])), pa.int64())}))
+    sent = spark.sparkContext.broadcast((a, b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {f: e for t in batches for f, e in zip(t.column("fp").to_pylist(), t.column("elements").to_pylist(), strict=True)}
+        if held:
+            fp = np.array(sorted(held), np.int64)
+            p, q = _links_of([_unpack(held[f]) for f in fp.tolist()], np.arange(len(fp)), *(np.searchsorted(fp, x) for x in sent.value))
+            p, q = fp[p], fp[q]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(p, q), pa.int64()), "b": pa.array(np.maximum(p, q), pa.int64())})
+
+    return written(sets.select("fp", "elements").join(F.broadcast(few), "fp", "left_semi").repartition(1).mapInArrow(lean(run), "a long, b long"))
+
+
+def _bytes_of(fps: np.ndarray) -> int:
+    """Bytes that the elements of sets of these names take, at most about."""
+    return int(np.append(SIZES[1:], SIZES[-1] * 2)[fps & ((1 << CLASS_BITS) - 1)].sum()) * ELEMENT
+
+
+def _few_sets(rows: DataFrame) -> np.ndarray | None:
+    """The names (fp) in rows, if one task may compare all of them."""
+    fps = np.asarray(rows.select("fp").distinct().limit(ONE_SETS + 1).toArrow().column("fp"), np.int64)
+    return fps if len(fps) <= ONE_SETS and _bytes_of(fps) <= ONE_BYTES else None
+
+
+def _meeting_all(placed: DataFrame, elements: DataFrame) -> DataFrame:
+    """Links between all sets under each element, enough to join what they join: pairs are verified where they meet.
 
     The sets under an element are dealt to parts of about CELL; a task has two parts at once.
     """
     many = placed.groupBy("x").agg(F.count("*").alias("many")).filter("many > 1")
     parts = F.ceil(F.col("many") / CELL).cast("int")
-    rows = placed.join(many, "x").join(bitmaps.select("fp", "bits"), "fp").withColumn("part", F.pmod(F.xxhash64("fp", "x"), parts).cast("int"))
-    rows = rows.select("x", "fp", "n", "before", "root", "bits", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
+    rows = placed.join(many, "x").join(elements.select("fp", "elements"), "fp").withColumn("part", F.pmod(F.xxhash64("fp", "x"), parts).cast("int"))
+    rows = rows.select("x", "fp", "before", "root", "elements", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
     rows = rows.withColumn("lo", F.least("part", "with")).withColumn("hi", F.greatest("part", "with")).drop("with")
     dealt = rows.repartition(workers(placed.sparkSession), "x", "lo", "hi").sortWithinPartitions("x", "lo", "hi")
 
@@ -535,14 +663,13 @@ def _meeting_all(placed: DataFrame, bitmaps: DataFrame) -> DataFrame:
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            fp, n, before, root, bits, part = zip(*held, strict=True)
-            a, b = _cell_pairs(*(np.array(x, np.int64) for x in (fp, n, before, root)), list(bits), np.array(part))
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            fp, before, root, x, part = zip(*held, strict=True)
+            return _cell_links(*(np.array(v, np.int64) for v in (fp, before, root)), [_unpack(v) for v in x], np.array(part), now[1] != now[2])
 
         now = None
         for t in batches:
             cells = zip(*(t.column(k).to_pylist() for k in ("x", "lo", "hi")), strict=True)
-            for cell, row in zip(cells, zip(*(t.column(k).to_pylist() for k in ("fp", "n", "before", "root", "bits", "part")), strict=True), strict=True):
+            for cell, row in zip(cells, zip(*(t.column(k).to_pylist() for k in ("fp", "before", "root", "elements", "part")), strict=True), strict=True):
                 if cell != now and held:
                     yield done()
                     held = []
@@ -604,35 +731,47 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         yield from packer.flush()
 
     met = _meet(texts.mapInArrow(lean(index), _BLOCK), buckets, hot, bits)
+    forget(spark)
     heat = spark.sparkContext.broadcast(_bitmap(met.filter("hot is not null").select("hot"), bits))
-    nodes = met.select(F.explode(F.array("a", "b")).alias("fp")).filter("fp is not null").distinct()
-    wanted = spark.sparkContext.broadcast(_bitmap(nodes.select(F.shiftrightunsigned(F.xxhash64("fp"), 64 - bits)), bits))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(fps: DataFrame) -> Bits:
+        return _bitmap(fps.select(F.shiftrightunsigned(F.xxhash64("fp"), 64 - bits)), bits)
+
+    def within(map_of: Bits, fp: np.ndarray) -> np.ndarray:
         import xxhash
 
-        def spots(fp: np.ndarray) -> np.ndarray:
-            return np.array([xxhash.xxh64_intdigest(f.tobytes(), 42) >> (64 - bits) for f in fp], np.int64)
+        return map_of[np.array([xxhash.xxh64_intdigest(f.tobytes(), 42) >> (64 - bits) for f in fp], np.int64)]
+
+    wanted = spark.sparkContext.broadcast(named(met.select(F.explode(F.array("a", "b")).alias("fp")).filter("fp is not null").distinct()))
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, h, n, fp in _new_sets(batches):
             if not len(n):
                 continue
             short, layouts = heat_of(at, h, n, heat.value, buckets)
-            begin = np.cumsum(n) - n
-            use = np.flatnonzero(short | wanted.value[spots(fp)])
-            x = [h[begin[k] : begin[k] + n[k]] for k in use]
+            use = np.flatnonzero(short | within(wanted.value, fp))
+            cold = [np.where(takes, need - lacks, -1) for (_, takes, need), (lacks, _) in zip(_layouts(n), layouts, strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "fp": pa.array(fp[use], pa.int64()), "n": pa.array(n[use], pa.int64()), "short": pa.array(short[use], pa.bool_()),
-                "elements": pa.array([_pack(v) for v in x], pa.binary()), "bits": pa.array([_bitmap_of(v) for v in x], pa.binary()),
+                "band": pa.array((np.searchsorted(BANDS, n, "right") - 1)[use], pa.int32()), **{f"cold{s}": pa.array(c[use], pa.int32()) for s, c in enumerate(cold)},
                 **{f"lacks{s}": pa.array(lacks[use], pa.int64()) for s, (lacks, _) in enumerate(layouts)},
                 **{f"spots{s}": pa.array([spots[k].tobytes() if short[k] else None for k in use], pa.binary()) for s, (_, spots) in enumerate(layouts)},
             })
 
-    sets = written(texts.mapInArrow(lean(gather), "fp long, n long, short boolean, elements binary, bits binary, lacks0 long, lacks1 long, spots0 binary, spots1 binary"))
-    small = sets.select("fp", "n", "bits").dropDuplicates(["fp"])
-    pairs = met.filter("a is not null").select("a", "b")
+    facts = written(texts.mapInArrow(lean(gather), "fp long, n long, short boolean, band int, cold0 int, cold1 int, lacks0 long, lacks1 long, spots0 binary, spots1 binary"))
+    pairs = written(_enough(met, facts.select("fp", "n", "band", "cold0", "cold1").dropDuplicates(["fp"])))
+    profile = facts.filter("short").select("fp", "n", "lacks0", "lacks1", "spots0", "spots1").dropDuplicates(["fp"])
+    # only now elements are kept: of sets that are compared
+    needed = spark.sparkContext.broadcast(named(pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(profile.select("fp"))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, h, n, fp in _new_sets(batches):
+            begin = np.cumsum(n) - n
+            use = np.flatnonzero(within(needed.value, fp))
+            x = [h[begin[k] : begin[k] + n[k]] for k in use]
+            yield pa.RecordBatch.from_pydict({"fp": pa.array(fp[use], pa.int64()), "n": pa.array(n[use], pa.int64()), "elements": pa.array([_pack(v) for v in x], pa.binary()), "bits": pa.array([_bitmap_of(v) for v in x], pa.binary())})
 
-    profile = sets.filter("short").select("fp", "n", "lacks0", "lacks1", "spots0", "spots1").dropDuplicates(["fp"])
+    sets = written(texts.mapInArrow(lean(keep), "fp long, n long, elements binary, bits binary"))
 
     def of_ends(pairs: DataFrame, column: str) -> DataFrame:
         """fp, n and a column of the sets in pairs, once each; no others are moved."""
@@ -653,6 +792,14 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         """
         if roots is not None:
             pairs = written(_apart(pairs, roots))
+        few = pairs.limit(ONE_PAIRS + 1).toArrow()
+        a, b = (np.asarray(few.column(k), np.int64) for k in "ab")
+        if len(a) <= ONE_PAIRS and _bytes_of(np.unique(np.concatenate([a, b]))) <= ONE_BYTES:
+            if not len(a) and sure is not None:
+                return sure, roots
+            more = _pairs_in_one(sets, a, b)
+            sure = more if sure is None else sure.unionByName(more)
+            return sure, components(sure)
         for key, end, pick in (("b", "a", F.min), ("a", "b", F.max)):
             first = written(pairs.groupBy(key).agg(pick(end).alias(end)).select("a", "b"))
             more = verified(first)
@@ -664,8 +811,9 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         sure = sure.unionByName(verified(pairs))
         return sure, components(sure)
 
-    sure, roots = joined(written(pairs.distinct()), None, None)
-    if sets.filter("short").isEmpty():
+    sure, roots = joined(pairs, None, None)
+    forget(spark)
+    if facts.filter("short").isEmpty():
         return roots
     profile, live = _unsettled(written(profile), roots, bits)
     count = profile.count()
@@ -675,12 +823,15 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         sure, roots = joined(written(_stars(profile, live, turn)), sure, roots)
         profile, live = _unsettled(profile, roots, bits)
         before, count = count, profile.count()
+        few = _few_sets(profile)
+        if few is not None:
+            return components(sure.unionByName(_in_one(sets, roots, few)))
         if 5 * count > 4 * before:
             break
     if not count:
         return roots
 
-    short = written(sets.filter("short").select("fp", "elements").join(profile.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+    short = written(sets.select("fp", "elements").join(profile.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(buckets, hot)
@@ -692,6 +843,7 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         yield from packer.flush()
 
     met2 = _meet(short.mapInArrow(lean(again), _BLOCK), buckets, hot, bits)
+    forget(spark)
     heat2 = spark.sparkContext.broadcast(_bitmap(met2.filter("hot is not null").select("hot"), bits))
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -718,6 +870,8 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
     # what the smallest under an element did not bring together is compared under each element that is shared
     placed = _mixed(heads, roots)
     for turn in range(CENTRE_ROUNDS):
+        if _few_sets(placed) is not None:
+            break
         # where components still meet in large groups, another centre brings most of them together first
         if _pairs_left(placed) <= FEW_PAIRS * placed.count():
             break
@@ -729,7 +883,8 @@ def links(docs: DataFrame, classes: DataFrame, hot: int = HOT) -> DataFrame:
         roots = components(sure)
         placed = _mixed(heads, roots)
     if not placed.isEmpty():
-        more = verified(written(_meeting_all(placed, small)))
+        few = _few_sets(placed)
+        more = _in_one(short, roots, few) if few is not None else written(_meeting_all(placed, short))
         roots = components(sure.unionByName(more))
     return roots
 

@@ -56,8 +56,9 @@ ONE = 1 << 12
 WHOLE, WHOLE_BITS = np.float32(1 << 23), np.full(2, 1 << 23, "<f4").view("<u8")[0]
 #: Tokens whose softmax is computed at once.
 CHUNK = 1 << 11
-#: Tokens whose shares are summed at once; four features of each may meet in one row, where a sum has 32 bits.
-SUMMED = 1 << 17
+#: Tokens whose shares are summed at once; four features of each may meet in one row, where a sum has 32 bits. Most
+#: slices of texts have fewer, so each adds to the tables once.
+SUMMED = (1 << 18) - 1
 BLOCKS = 64
 WINDOW = 1_500_000
 #: Characters of the documents that one task sums gradients over, about.

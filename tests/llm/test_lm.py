@@ -188,3 +188,8 @@ def test_shares_that_meet_in_one_row(monkeypatch):
         share = np.rint(lm.ONE * np.exp(x - x.max()) / np.exp(x - x.max()).sum())
         assert np.abs(table[:, row] / n - 4 * share).max() <= 4 and table[:, row].max() > 0
         assert np.count_nonzero(table) == np.count_nonzero(table[:, row]) and (table[:, row] % n == 0).all()
+
+
+def test_a_slice_is_summed_at_once():
+    """Texts of a slice (1 << 20 characters, words of four and a space) add to the tables once; no sum needs 33 bits."""
+    assert (1 << 20) // 5 <= lm.SUMMED and 4 * lm.SUMMED * lm.ONE < 1 << 32
